@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from . import ngram_join
+from . import decontaminate, nearest, ngram_join, token_counts
 
 
 def queries() -> dict:
     return {
+        "op1_nearest_neighbours": nearest.op1_nearest_neighbours,
         "op2_ngram_jaccard": ngram_join.op2_ngram_jaccard,
+        "op4_decontamination": decontaminate.op4_decontamination,
+        "op9_token_counts": token_counts.op9_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_nearest_neighbours": nearest.OP1_SQL,
         "op2_ngram_jaccard": ngram_join.OP2_SQL,
+        "op4_decontamination": decontaminate.OP4_SQL,
     }
