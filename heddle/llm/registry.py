@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, nearest, ngram_join, token_counts
+from . import decontaminate, nearest, ngram_join, token_counts, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_nearest_neighbours": nearest.op1_nearest_neighbours,
         "op2_ngram_jaccard": ngram_join.op2_ngram_jaccard,
+        "op3_toxicity": toxicity.op3_toxicity,
         "op4_decontamination": decontaminate.op4_decontamination,
         "op9_token_counts": token_counts.op9_token_counts,
     }
