@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, nearest, ngram_join, token_counts, toxicity
+from . import decontaminate, hmm_score, nearest, ngram_join, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_toxicity": toxicity.op3_toxicity,
         "op4_decontamination": decontaminate.op4_decontamination,
         "op9_token_counts": token_counts.op9_token_counts,
+        "op10_hmm_score": hmm_score.op10_hmm_score,
     }
 
 
