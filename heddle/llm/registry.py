@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, hmm_score, nearest, ngram_join, token_counts, toxicity
+from . import decontaminate, hmm_score, nearest, ngram_join, pii, secrets, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,8 @@ def queries() -> dict:
         "op2_ngram_jaccard": ngram_join.op2_ngram_jaccard,
         "op3_toxicity": toxicity.op3_toxicity,
         "op4_decontamination": decontaminate.op4_decontamination,
+        "op5_secret_scan": secrets.op5_secret_scan,
+        "op7_pii": pii.op7_pii,
         "op9_token_counts": token_counts.op9_token_counts,
         "op10_hmm_score": hmm_score.op10_hmm_score,
     }
@@ -21,4 +23,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_nearest_neighbours": nearest.OP1_SQL,
         "op2_ngram_jaccard": ngram_join.OP2_SQL,
         "op4_decontamination": decontaminate.OP4_SQL,
+        "op5_secret_scan": secrets.OP5_SQL,
+        "op7_pii": pii.OP7_SQL,
     }
