@@ -58,12 +58,12 @@ def _clean() -> None:
             return
 
 
-def bit_filter(df: DataFrame, key: str, ids: DataFrame, id_col: str, bits: int = 1 << 22) -> DataFrame:
+def bit_filter(df: DataFrame, key: str, ids: DataFrame, id_col: str, bits: int = 1 << 22, inside: bool = True) -> DataFrame:
     """Rows of ``df`` whose ``key`` may be in ``ids``: a semi-join reducer of fixed size.
 
     The broadcast side is a bit table of ``bits`` bits (at most bits/64 rows of 12 bytes, whatever the
     number of ids), so it may let rows through that are not in ``ids`` but never loses one.
-    An exact join must follow.
+    An exact join must follow.  ``inside=False`` gives the rows left out, which are certainly not in ``ids``.
     """
     slot = lambda c: F.pmod(F.xxhash64(c.cast("string")), F.lit(bits))
     table = (
@@ -71,11 +71,9 @@ def bit_filter(df: DataFrame, key: str, ids: DataFrame, id_col: str, bits: int =
         .groupBy(F.shiftright("_s", 6).cast("int").alias("_w"))
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(_s & 63 as int))")).alias("_m"))
     )
-    kept = (
-        df.withColumn("_s", slot(F.col(key)))
-        .join(F.broadcast(table), F.shiftright("_s", 6).cast("int") == F.col("_w"))
-        .where(F.expr("(shiftrightunsigned(_m, cast(_s & 63 as int)) & 1L) = 1L"))
-    )
+    hit = F.expr("(shiftrightunsigned(_m, cast(_s & 63 as int)) & 1L) = 1L")
+    kept = df.withColumn("_s", slot(F.col(key))).join(F.broadcast(table), F.shiftright("_s", 6).cast("int") == F.col("_w"), "inner" if inside else "left")
+    kept = kept.where(hit if inside else ~F.coalesce(hit, F.lit(False)))
     return kept.drop("_s", "_w", "_m")
 
 
