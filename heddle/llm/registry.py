@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, hmm_score, line_dedup, nearest, ngram_join, pii, secrets, token_counts, toxicity
+from . import decontaminate, hmm_score, line_dedup, mixing, nearest, ngram_join, pii, secrets, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_toxicity": toxicity.op3_toxicity,
         "op4_decontamination": decontaminate.op4_decontamination,
         "op5_secret_scan": secrets.op5_secret_scan,
+        "op6_source_mixing": mixing.op6_source_mixing,
         "op7_pii": pii.op7_pii,
         "op8_line_dedup": line_dedup.op8_line_dedup,
         "op9_token_counts": token_counts.op9_token_counts,
