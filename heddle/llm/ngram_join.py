@@ -7,10 +7,15 @@ every document.  Cutting that order into fragments cuts every document's set int
    fragments at least one holds the same segment in both.  Documents are therefore grouped by segment hash
    (per size class, as d depends on size).  No link can be missed.
 2. *Stars.*  Equal sets form one class first.  A segment group of m classes proposes m-1 pairs (member, leader),
-   not m^2.  Members whose leader turned out not to be linked, and only those groups, are compared further, until
-   every pair of one group is either verified or already inside one component.
-3. *Verification.*  For each proposed pair the overlaps are counted fragment by fragment and summed:
+   not m^2.
+3. *Bound.*  Each set carries how many n-grams it has in each of 256 fragments; the sum of the smaller counts bounds
+   the overlap from above.  Pairs whose bound is too low are no links.
+4. *Verification.*  For the others the overlaps are counted fragment by fragment and summed:
    I = sum of partial overlaps, U = |x|+|y|-I.
+5. *Rest.*  Segment groups that still hold several components are joined into families (connected over shared
+   segments).  A family of up to FAMILY sets is compared by the bound in one task, across components only; a larger one
+   by a join over its segments.  What passes is verified too, so every pair that shares a segment is either verified,
+   ruled out by the bound, or inside one component already.
 
 Components over verified links and equal sets are exact.
 
@@ -25,6 +30,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +39,8 @@ from . import textkit as T
 from .common import bit_filter, components, stage, unstage
 
 FRAGMENTS = 8  # of the verification
+CELLS = 256  # of the bound
+FAMILY = 8192
 _K = np.array([0xA24BAED4963EE407, 0x9FB21C651E98DF25], np.uint64)
 
 
@@ -88,22 +96,54 @@ def segment_keys(u: np.ndarray, percent: int, classes: list[tuple[int, int, int]
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def fragment_counts(u: np.ndarray) -> bytes:
+    """How many n-grams lie in each of CELLS fragments of the global order."""
+    return np.minimum(np.bincount((u >> np.uint64(56)).astype(np.int64), minlength=CELLS), 65535).astype("<u2").tobytes()
+
+
+def may_link(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, percent: int) -> np.ndarray:
+    """Whether 100*I >= percent*U is possible for rows of fragment counts and set sizes."""
+    most = np.minimum(x, y).sum(1, dtype=np.int64)
+    full = (x.max(1) == 65535) | (y.max(1) == 65535)
+    most = np.where(full, np.minimum(nx, ny), np.minimum(most, np.minimum(nx, ny)))
+    return most * (100 + percent) >= percent * (nx + ny)
+
+
+def _counts(col: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(col.to_pylist()), "<u2").reshape(-1, CELLS)
+
+
+def bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that the bound does not rule out; sets: node, n_shingles, counts."""
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                n = [batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 4)]
+                keep = may_link(_counts(batch.column(3)), _counts(batch.column(5)), *n, percent)
+                yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("counts").alias(f"c_{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "c_a", "n_b", "c_b")
+    return both.mapInArrow(run, "a long, b long")
+
+
 def signatures(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(node, n_shingles, digest, keys): one Python pass over the texts, no shuffle."""
+    """(node, n_shingles, digest, keys, counts): one Python pass over the texts, no shuffle."""
     classes = size_classes(percent)
     starts = np.array([c[0] for c in classes])
 
     def run(batches):
         for batch in T.docs_in_batch(batches, "text"):
-            sizes, digests, keys = [], [], []
+            sizes, digests, keys, counts = [], [], [], []
             for u in shingle_sets(batch.column(1), n):
                 sizes.append(len(u))
                 digests.append(set_digest(u) if len(u) else None)
                 keys.append(segment_keys(u, percent, classes, starts).tobytes() if len(u) else b"")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.binary())], ["node", "n_shingles", "digest", "keys"])
+                counts.append(fragment_counts(u) if len(u) else b"")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], ["node", "n_shingles", "digest", "keys", "counts"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "node long, n_shingles long, digest binary, keys binary")
+    return rows.mapInArrow(run, "node long, n_shingles long, digest binary, keys binary, counts binary")
 
 
 def _local_stars(batches):
@@ -175,6 +215,45 @@ def verified(texts: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, per
     return out
 
 
+def open_members(links: DataFrame, comp: DataFrame) -> DataFrame:
+    """(key, node, root) of every member of a segment group that holds several components."""
+    lead = comp.select(F.col("node").alias("leader"), F.col("root").alias("leader_root"))
+    open_keys = (
+        links.join(comp, "node", "left").join(lead, "leader", "left")
+        .where(F.coalesce("root", "node") != F.coalesce("leader_root", "leader")).select("key").distinct()
+    )
+    member = links.select("key", "node").union(links.select("key", F.col("leader").alias("node"))).distinct()
+    return member.join(open_keys, "key", "left_semi").join(comp, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+
+
+def family_pairs(member: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a segment group or family and pass the bound."""
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.frombuffer(b"".join(pdf["counts"]), "<u2").reshape(-1, CELLS)
+        node, root, size = (pdf[c].to_numpy() for c in ("node", "root", "n_shingles"))
+        a, b = [], []
+        for i in range(len(node) - 1):
+            rest = i + 1 + np.flatnonzero((root[i + 1 :] != root[i]) & (100 * np.minimum(size[i], size[i + 1 :]) >= percent * np.maximum(size[i], size[i + 1 :])))
+            if len(rest):
+                rest = rest[may_link(x[i][None], x[rest], size[i], size[rest], percent)]
+                a.append(np.full(len(rest), node[i]))
+                b.append(node[rest])
+        return pd.DataFrame({"a": np.concatenate([*a, np.zeros(0, np.int64)]), "b": np.concatenate([*b, np.zeros(0, np.int64)])})
+
+    hub = member.groupBy("key").agg(F.min("node").alias("hub"))
+    family = components(member.join(hub, "key").select(F.col("node").alias("a"), F.col("hub").alias("b")))
+    family = stage(family.withColumnRenamed("root", "family"), "families")
+    sizes = family.groupBy("family").agg(F.count("*").alias("m"))
+    nodes = member.select("node", "root").distinct().join(family, "node").join(sizes, "family")
+    small = (
+        nodes.where(F.col("m") <= FAMILY).join(sets, "node").select("family", "node", "root", "n_shingles", "counts")
+        .groupBy("family").applyInPandas(run, "a long, b long")
+    )
+    big = member.join(nodes.where(F.col("m") > FAMILY).select("node"), "node", "left_semi")
+    other = big.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"))
+    return small.union(big.withColumnRenamed("node", "a").join(other, "key").where("root < root_b").select("a", "b"))
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included)."""
     sigs = stage(signatures(docs, n, percent, id_col, text_col), "signatures")
@@ -189,38 +268,22 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
         .mapInArrow(_global_stars, "key long, node long, leader long")
     )
     links = stage(links, "stars")
+    sets = stage(reps.select("node", "n_shingles", "counts").dropDuplicates(["node"]), "sets")
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
-    edges = verified(texts, classes, links.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), n, percent)
+
+    def check(pairs: DataFrame) -> DataFrame:
+        pairs = stage(bounded(pairs.distinct(), sets, percent), "pairs")
+        good = verified(texts, classes, pairs, n, percent)
+        unstage(pairs)
+        return good
+
+    edges = check(links.select(F.col("node").alias("a"), F.col("leader").alias("b")))
     comp = stage(components(edges), "components")
-    for turn in range(1, 8):
-        root = comp.select(F.col("node"), F.col("root"))
-        lead = comp.select(F.col("node").alias("leader"), F.col("root").alias("leader_root"))
-        open_keys = (
-            links.join(root, "node", "left").join(lead, "leader", "left")
-            .where(F.coalesce("root", "node") != F.coalesce("leader_root", "leader")).select("key").distinct()
-        )
-        member = links.select("key", "node").union(links.select("key", F.col("leader").alias("node"))).distinct()
-        member = member.join(open_keys, "key", "left_semi").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        member = stage(member, "open")
-        cost = (member.groupBy("key", "root").count().groupBy("key")
-                .agg(((F.sum("count") * F.sum("count") - F.sum(F.col("count") * F.col("count"))) / 2).alias("p"), F.sum("count").alias("m"))
-                .agg(F.sum("p").alias("p"), F.sum("m").alias("m")).first())
-        if not cost["m"]:
-            unstage(member)
-            break
-        last = cost["p"] <= 8 * cost["m"] or turn == 7
-        if last:
-            other = member.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"))
-            pairs = member.withColumnRenamed("node", "a").join(other, "key").where("root < root_b").select("a", "b").distinct()
-        else:
-            first = member.groupBy("key").agg(F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(turn))).alias("f"))
-            pairs = member.join(first, "key").where("root <> f.root").select(F.col("node").alias("a"), F.col("f.node").alias("b")).distinct()
-        more = verified(texts, classes, stage(pairs, "pairs"), n, percent)
-        edges = edges.union(more)
+    member = stage(open_members(links, comp), "open")
+    if not member.isEmpty():
+        edges = edges.union(check(family_pairs(member, sets, percent)))
         comp = stage(components(edges), "components")
-        unstage(member)
-        if last:
-            break
+    unstage(member)
     found = classes.select("digest", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("c"))
     by_node = nodes.join(found, "digest").select("node", F.col("c").alias("component_id"))
     return (
