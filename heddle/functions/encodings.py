@@ -82,7 +82,7 @@ def base64_decode(cols, p):
 
 @native("base64url_encode")
 def base64url_encode(cols, p):
-    return F.rtrim(F.lit("="), F.translate(flat_base64(cols[0]), "+/", "-_"))
+    return F.regexp_replace(F.translate(flat_base64(cols[0]), "+/", "-_"), "=+$", "")
 
 
 @native("base64url_decode")

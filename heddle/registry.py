@@ -6,6 +6,7 @@ Two kinds of functions share it.  *Native* functions build Spark expressions, wh
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import wraps
@@ -93,7 +94,9 @@ def python(*names: str, inputs: int | tuple[int, int | None] = 1, returns: str =
                 return pd.Series(out, dtype=object)
 
             run.__annotations__ = {"return": pd.Series}
-            udf = F.pandas_udf(run, returns, F.PandasUDFType.SCALAR)
+            with warnings.catch_warnings():  # annotations cannot name a varying number of arguments
+                warnings.simplefilter("ignore")
+                udf = F.pandas_udf(run, returns, F.PandasUDFType.SCALAR)
             return udf(*(c.cast("binary") for c in columns))
 
         for name in names:

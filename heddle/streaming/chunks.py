@@ -95,17 +95,17 @@ for _name, _batch, _defaults in (
 
 @streaming("streaming_uppercase")
 def _uppercase(x, p):
-    """ASCII letters."""
+    """ASCII letters; bytes pass as single characters, as a chunk may end inside one of several bytes."""
     from ..functions.encodings import ascii_upper
 
-    return _mapped(x[0], ascii_upper)
+    return _mapped(x[0], lambda c: F.encode(ascii_upper(F.decode(c, "iso-8859-1")), "iso-8859-1"))
 
 
 @streaming("streaming_lowercase")
 def _lowercase(x, p):
     from ..functions.encodings import ascii_lower
 
-    return _mapped(x[0], ascii_lower)
+    return _mapped(x[0], lambda c: F.encode(ascii_lower(F.decode(c, "iso-8859-1")), "iso-8859-1"))
 
 
 @streaming("streaming_pad")
@@ -497,11 +497,19 @@ def _merkle_tree(x, p):
     return _one(level, F.unhex("h"))
 
 
+def head_text(c: Column) -> Column:
+    """A chunk without the bytes of a character that it does not end."""
+    return F.unhex(F.regexp_replace(F.hex(c), r"(?:F[0-7](?:[89AB].){0,2}|E.(?:[89AB].){0,1}|[CD].)\z", ""))
+
+
 @streaming("streaming_content_type")
 def _content_type(x, p):
-    """A header line with the type of the first chunk, then the stream."""
+    """A header line with the type of the first chunk, then the stream.
+
+    A character cut at the end of the chunk does not make a text binary.
+    """
     from ..functions.checks import sniffed
 
     first = x[0].groupBy(KEY).agg(F.min_by(BODY, IDX).alias("_f"))
-    head = first.select(KEY, F.lit(-1).cast("bigint").alias(IDX), raw(F.concat(F.lit("Content-Type: "), sniffed(F.col("_f")), F.lit("\n"))).alias(BODY))
+    head = first.select(KEY, F.lit(-1).cast("bigint").alias(IDX), raw(F.concat(F.lit("Content-Type: "), sniffed(head_text(F.col("_f"))), F.lit("\n"))).alias(BODY))
     return _renumbered(head.unionByName(x[0]))
