@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -348,8 +350,6 @@ def rolling_hash(data: bytes, window: int, state: tuple[int, bytes] = (0, b""))
 @streaming("streaming_rolling_hash")
 def _rolling_hash(x, p):
     """Each chunk followed by the hash of the last bytes so far, which may span chunks."""
-    import pandas as pd
-
     window = p.int("window_size", 48, low=1)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -466,9 +466,6 @@ def _aead_decrypt(x, p):
 @streaming("streaming_diff", "streaming_patch")
 def _diff(x, p):
     """Chunks of two streams combined by exclusive or, the shorter filled with zeros; applied twice it is undone."""
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("binary")
     def xor(a: pd.Series, b: pd.Series) -> pd.Series:
         def one(u, v):
