@@ -46,7 +46,7 @@ def mod97(text: Column) -> Column:
 
 def rules(text: Column) -> dict[str, Column]:
     n_digits = lambda m: F.length(digits(m))
-    parts = lambda m: F.forall(F.split(m, r"\."), lambda p: (F.length(F.ltrim(F.lit("0"), p)) <= 3) & (F.coalesce(F.ltrim(F.lit("0"), p).try_cast("int"), F.lit(0)) <= 255))
+    parts = lambda m: F.forall(F.split(m, r"\."), lambda p: (F.length(F.ltrim(p, F.lit("0"))) <= 3) & (F.coalesce(F.ltrim(p, F.lit("0")).try_cast("int"), F.lit(0)) <= 255))
     # A text without a run of twelve digits has no card; the cheap test spares most texts the list of all numbers.
     card = F.when(text.rlike(r"[0-9](?:[\x20-]?[0-9]){11}"), keep(matches(text, CARD), lambda m: n_digits(m).between(12, 19) & F.when(n_digits(m).between(12, 19), luhn(m)).otherwise(False)))
     return {
