@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..layout import big_endian, raw
+from ..layout import raw
 from ..params import InvalidParam
 from ..registry import get, native, python
 from .hashing import sha
