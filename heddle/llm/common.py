@@ -71,12 +71,18 @@ def bit_filter(df: DataFrame, key: str, ids: DataFrame, id_col: str, bits: int =
         .groupBy(F.shiftright("_s", 6).cast("int").alias("_w"))
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(_s & 63 as int))")).alias("_m"))
     )
+    table = narrow(table, bits // 64)
     hit = F.expr("(shiftrightunsigned(_m, cast(_s & 63 as int)) & 1L) = 1L")
     kept = df.withColumn("_s", slot(F.col(key))).join(F.broadcast(table), F.shiftright("_s", 6).cast("int") == F.col("_w"), "inner" if inside else "left")
     kept = kept.where(hit if inside else ~F.coalesce(hit, F.lit(False)))
     return kept.drop("_s", "_w", "_m")
 
 
+def narrow(df: DataFrame, rows: int) -> DataFrame:
+    """At most one task for 50,000 rows, and eight at least: small tables need not run in as many tasks as large ones."""
+    return df.coalesce(max(8, min(rows // 50_000, 1 << 20)))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected edge list: (node, root), root the smallest node reachable.
 
@@ -84,29 +90,30 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     minimum and an equi-join, so a hub holding most edges is only a skewed join, which AQE splits.
     Only nodes that occur in an edge with two different ends are returned.
     """
-    def tidy(df: DataFrame, step: str) -> DataFrame:
-        return stage(df.where("u <> v").distinct(), f"star-{step}")
-
-    def mark(df: DataFrame) -> tuple:
-        r = df.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-        return r["n"], r["x"]
-
-    e = tidy(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")), "0")
-    seen = mark(e)
-    while seen[0]:
+    def tidy(df: DataFrame, rows: int) -> DataFrame:
+        return stage(narrow(df.where("u <> v").distinct(), rows), "star")
+
+    def rough(df: DataFrame) -> tuple:
+        """(edges, whether some node is not simply the root or a leaf of a star)."""
+        ends = df.select(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(df.select("v", F.lit(0), F.lit(1)))
+        per = narrow(ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")), rows)
+        return tuple(per.agg(F.coalesce(F.sum("up"), F.lit(0)), F.coalesce(F.max(F.expr("up + down > 1 and up > 0")), F.lit(False))).first())
+
+    rows = 1 << 40
+    e = tidy(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")), rows)
+    rows, more = rough(e)
+    while more:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = narrow(both.groupBy("u").agg(F.min("v").alias("m")), rows).select("u", F.least("u", "m").alias("m"))
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        large = narrow(large.distinct(), rows)
+        low = narrow(large.groupBy("u").agg(F.min("v").alias("m")), rows)
         joined = large.join(low, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v")))
-        new = tidy(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "n")
-        now = mark(new)
+        new = tidy(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), rows)
         unstage(e)
         e = new
-        if now == seen:
-            break
-        seen = now
+        rows, more = rough(e)
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
         e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
