@@ -16,7 +16,6 @@ The phrases are broadcast in blocks of at most BLOCK_BYTES of item text; more te
 
 from __future__ import annotations
 
-import hashlib
 
 import numpy as np
 import pyarrow as pa
