@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from . import textkit as T
 from .common import read
 
-MAX_POSITIVE = 6000
-MAX_UNLABELLED = 12000
+MAX_POSITIVE = 4000
+MAX_UNLABELLED = 8000
 MAX_FEATURES = 4096
 L1 = 2e-4
 STEPS = 300
@@ -62,21 +62,25 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     if not positive or not unlabelled:
         return Model(np.zeros(0, np.uint64), np.zeros(0), -30.0)
     np_, nu = len(positive), len(unlabelled)
-    flat = np.concatenate([*positive, *unlabelled])
-    row = np.repeat(np.arange(np_ + nu), [len(x) for x in (*positive, *unlabelled)])
-    keys, col = np.unique(flat, return_inverse=True)
-    in_p = np.bincount(col[row < np_], minlength=len(keys)) / np_
-    in_u = np.bincount(col[row >= np_], minlength=len(keys)) / nu
+    p_words, p_count = np.unique(np.concatenate(positive), return_counts=True)
+    u_words, u_count = np.unique(np.concatenate(unlabelled), return_counts=True)
+    keys = np.union1d(p_words, u_words)
+    in_p, in_u = np.zeros(len(keys)), np.zeros(len(keys))
+    in_p[np.searchsorted(keys, p_words)] = p_count / np_
+    in_u[np.searchsorted(keys, u_words)] = u_count / nu
     # Features: the words whose share differs most between P and U, in standard errors.
     mean = (in_p * np_ + in_u * nu) / (np_ + nu)
     z = np.abs(in_p - in_u) / np.sqrt(mean * (1 - mean) * (1 / np_ + 1 / nu) + 1e-12)
     z[(in_p * np_ + in_u * nu) < 3] = 0
     keep = np.sort(np.argsort(-z, kind="stable")[:MAX_FEATURES])
-    keep = keep[z[keep] > 2]
-    number = np.full(len(keys), -1)
-    number[keep] = np.arange(len(keep))
-    use = number[col] >= 0
-    row, col, keys = row[use], number[col[use]], keys[keep]
+    keys = keys[keep[z[keep] > 2]]
+    rows, cols = [], []
+    for i, x in enumerate((*positive, *unlabelled)):
+        at = np.searchsorted(keys, x)
+        at = at[(at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == x)] if len(keys) else at[:0]
+        rows.append(np.full(len(at), i, np.int32))
+        cols.append(at)
+    row, col = np.concatenate(rows), np.concatenate(cols)
     is_p = np.arange(np_ + nu) < np_
     w, bias = np.zeros(len(keys)), float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)))
     v, vb, seen, seen_b = np.zeros(len(keys)), 0.0, np.zeros(len(keys)), 0.0
