@@ -5,7 +5,9 @@ every document.  Cutting that order into fragments cuts every document's set int
 
 1. *Candidates.*  Two sets with 100*I >= p*U differ in at most d = (|x|+|y|)*(100-p)/(100+p) n-grams, so of d+1
    fragments at least one holds the same segment in both.  Documents are therefore grouped by segment hash
-   (per size class, as d depends on size).  No link can be missed.
+   (per size class, as d depends on size).  No link can be missed.  Below PREFIX_BELOW percent the segments would be short
+   and often empty, and so shared by unlike sets; there the first |x| - ceil(p|x|) + 1 n-grams in the global order are
+   the keys instead, of which two linked sets share one.
 2. *Stars.*  Equal sets form one class first.  A segment group of m classes proposes m-1 pairs (member, leader),
    not m^2.
 3. *Bound.*  Each set carries how many n-grams it has in each of 256 fragments; the sum of the smaller counts bounds
@@ -41,6 +43,7 @@ from .common import bit_filter, components, stage, unstage
 FRAGMENTS = 8  # of the verification
 CELLS = 256  # of the bound
 FAMILY = 8192
+PREFIX_BELOW = 85
 _K = np.array([0xA24BAED4963EE407, 0x9FB21C651E98DF25], np.uint64)
 
 
@@ -80,6 +83,8 @@ def size_classes(percent: int) -> list[tuple[int, int, int]]:
 def segment_keys(u: np.ndarray, percent: int, classes: list[tuple[int, int, int]], starts: np.ndarray) -> np.ndarray:
     """A hash for each (size class, fragment, segment) of a set; also of the next class if a partner may lie in it."""
     n = len(u)
+    if percent < PREFIX_BELOW:
+        return T.mix(u[: n - -(-n * percent // 100) + 1] + np.uint64(11))
     k = int(np.searchsorted(starts, n, "right")) - 1
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(T.mix(u + np.uint64(7)), dtype=np.uint64)])
     out = []
