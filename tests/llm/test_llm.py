@@ -268,6 +268,25 @@ def test_line_dedup(spark, odd, none):
     assert line_dedup.dedup_lines(odd).columns == odd.columns
 
 
+def replaced(i, n, changed):
+    """A line of n words of its own, and the same with ``changed`` words replaced."""
+    rng = np.random.default_rng(1000 * n + i)
+    words = ["".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(4, 9))) for _ in range(n + changed)]
+    other = words[:n]
+    for at, w in zip(rng.choice(n, changed, replace=False), words[n:]):
+        other[at] = w[:1] * len(other[at])
+    return " ".join(words[:n]), " ".join(other)
+
+
+@pytest.mark.parametrize("n,changed,least", [(10, 1, 1.0), (15, 1, 1.0), (20, 1, 1.0), (24, 2, 1.0), (60, 1, 1.0), (60, 3, 0.99), (60, 6, 0.97), (100, 10, 0.97)])
+def test_line_dedup_candidates(spark, n, changed, least):
+    rows = [(2 * i + k, line) for i in range(200) for k, line in enumerate(replaced(i, n, changed))]
+    nodes = line_dedup.staged_lines(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    keys = line_dedup.word_keys(nodes.select(F.col("doc").alias("node"), "top"))
+    met = keys.withColumn("pair", F.floor(F.col("node") / 2)).groupBy("pair", "key").count().where("count > 1").select("pair").distinct().count()
+    assert met >= least * 200
+
+
 def test_simhash(spark):
     words = [[f"w{i * k}" for i in range(1, n + 1)] for k, n in ((1, 5), (3, 63), (7, 64), (11, 20000))]
     df = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, w array<string>").withColumn("h", F.expr("transform(w, x -> xxhash64(x))"))
