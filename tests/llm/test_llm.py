@@ -287,6 +287,16 @@ def test_line_dedup_candidates(spark, n, changed, least):
     assert met >= least * 200
 
 
+def test_line_dedup_typos(spark):
+    """Typos within a tenth of the characters, in as many words as they like, make a link; more do not."""
+    pairs = [("several readers noticed misprints everywhere", "several raaders noticed misprints everywhere"), ("seven words make quite another sentence here", "seven wards make quite anather sentence here"),
+             ("twelve ordinary words stand together within this slightly longer line of text", "twelve ordinory words stand tagether within this slightly langer line of text"),
+             ("green apples ripen slowly beneath northern orchards", "groan applos ripon slawly benoath narthern orchards")]
+    rows = [(2 * i + k, line) for i, p in enumerate(pairs) for k, line in enumerate(p)]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[2 * i + 1] == "" for i in range(4)] == [True, True, True, False] and all(got[2 * i] for i in range(4))
+
+
 def test_simhash(spark):
     words = [[f"w{i * k}" for i in range(1, n + 1)] for k, n in ((1, 5), (3, 63), (7, 64), (11, 20000))]
     df = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, w array<string>").withColumn("h", F.expr("transform(w, x -> xxhash64(x))"))
