@@ -297,6 +297,19 @@ def test_line_dedup_typos(spark):
     assert [got[2 * i + 1] == "" for i in range(4)] == [True, True, True, False] and all(got[2 * i] for i in range(4))
 
 
+def test_line_dedup_bounds(spark):
+    """Digits, addresses and rules within a line do not count against it; a key's unlike lines are compared among each other."""
+    words = "several readers noticed many curious misprints everywhere"
+    rows = [(1, words), (2, f"{words[:-1]} {'1234567890' * 20}"), (3, f"{'-' * 90} {words}s"), (4, words.replace("many", "mony"))]
+    # Both ends of each pair of the wide group share their first words with the unlike node of the smallest hash.
+    shared = "extraordinarily incomprehensible "
+    group = [shared + " ".join(word(300 * i + k) for k in range(12)) for i in range(12)]
+    rows += [(10 + 2 * i + k, line + " end" * k) for i, line in enumerate(group) for k in range(2)]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == words and [got[i] for i in (2, 3, 4)] == [""] * 3
+    assert all(got[10 + 2 * i] and got[11 + 2 * i] == "" for i in range(12))
+
+
 def test_simhash(spark):
     words = [[f"w{i * k}" for i in range(1, n + 1)] for k, n in ((1, 5), (3, 63), (7, 64), (11, 20000))]
     df = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, w array<string>").withColumn("h", F.expr("transform(w, x -> xxhash64(x))"))
