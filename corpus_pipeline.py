@@ -29,7 +29,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat another go from the texts; a document of which no line of words stays goes."""
-    return recounted(line_dedup.dedup_lines(docs, drop_emptied=True))
+    return recounted(line_dedup.dedup_lines(docs, drop_emptied=True, short=True))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -310,6 +310,18 @@ def test_line_dedup_bounds(spark):
     assert all(got[10 + 2 * i] and got[11 + 2 * i] == "" for i in range(12))
 
 
+def test_line_dedup_short(spark, tmp_path):
+    """In the query and the pipeline every line that is not blank takes part; short ones go only if they are equal."""
+    import corpus_pipeline as C
+
+    rows = [(1, "All rights reserved\nPage 1\n12345\n\n这是一个没有空格的完整句子"), (2, "All rights reserved \nPage 2\n12345\n\n这是一个没有空格的完整句子"), (3, "12345\n67890"), (4, "12345")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.n_dropped for r in line_dedup.op8_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: 0, 2: 3, 3: 1, 4: 1}
+    assert {r.doc_id: r.text for r in C.drop_repeated_lines(spark, df, str(tmp_path)).collect()} == {1: rows[0][1], 2: "Page 2\n", 3: "67890"}
+
+
 def test_simhash(spark):
     words = [[f"w{i * k}" for i in range(1, n + 1)] for k, n in ((1, 5), (3, 63), (7, 64), (11, 20000))]
     df = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, w array<string>").withColumn("h", F.expr("transform(w, x -> xxhash64(x))"))
