@@ -9,13 +9,16 @@ One pass over the documents, no shuffle; nothing is kept per corpus.
 
 Phrases: 8 consecutive words of a test item (all of them, if fewer).  Words: see ``textkit`` rule ``alnum``.
 
-Edge cases: null or empty texts have no words and no hits; items without words or with a null id are ignored, items that
-repeat an id are one item; an empty benchmark hits nothing; rows repeating a doc_id are handled row by row.
-The phrases are broadcast in blocks of at most BLOCK_BYTES of item text; more text means more passes over the documents.
+Edge cases: null or empty texts have no words and no hits; items without words are ignored, items with a null id are searched and
+hit words but are not named, items that repeat an id are one item; an empty benchmark hits nothing; rows repeating a doc_id
+are handled row by row.
+The phrases are broadcast in blocks of about BLOCK_BYTES of item text, of which the driver holds one at a time; more text means more
+passes over the documents.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,30 +30,37 @@ from .common import read, stage, union_all
 
 WINDOW = 8
 SAMPLE = 16
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 4 << 20
 
 
 class Phrases:
-    """The distinct windows of some test items, as words numbered from 1."""
-
-    def __init__(self, ids: list, texts: list[str], window: int = WINDOW):
-        found: dict[tuple, set] = {}
-        words = T.hash_words(texts, "alnum")
-        self.vocab = np.unique(np.concatenate([*words, np.zeros(0, np.uint64)]))
-        for key, w in zip(ids, words, strict=True):
-            sym = (np.searchsorted(self.vocab, w) + 1).tolist()
-            for i in range(max(1, len(sym) - window + 1) if sym else 0):
-                found.setdefault(tuple(sym[i : i + window]), set()).add(str(key))
-        self.windows = list(found)
-        self.items = [sorted(found[p]) for p in self.windows]
-        self.lens = np.array([len(p) for p in self.windows], np.int64)
-        self.table = np.zeros((len(self.windows), window), np.int64)
-        for i, p in enumerate(self.windows):
-            self.table[i, : len(p)] = p
+    """The distinct windows of some test items, as rows of words numbered from 1: arrays only, some 50 bytes a word."""
+
+    def __init__(self, ids: list[str | None], texts: list[str | None], window: int = WINDOW):
+        h, bounds = T.words(pa.array(texts, pa.string()), "alnum")
+        self.vocab, sym = np.unique(h, return_inverse=True)
+        sym = np.concatenate([sym.astype(np.int32) + 1, np.zeros(window, np.int32)])
+        size = np.diff(bounds)
+        count = np.where(size > 0, np.maximum(size - window + 1, 1), 0)
+        item = np.repeat(np.arange(len(texts), dtype=np.int32), count)
+        start = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count - bounds[:-1], count)
+        lens = np.minimum(size, window)[item]
+        table = sym[start[:, None] + np.arange(window)]
+        table[np.arange(window) >= lens[:, None]] = 0
+        order = np.lexsort((item, *table.T[::-1]))
+        table, item, lens = table[order], item[order], lens[order]
+        first = np.ones(len(table), bool)
+        first[1:] = (table[1:] != table[:-1]).any(1)
+        self.table, self.lens = table[first], lens[first]
+        self.item, self.cuts = item, np.append(np.flatnonzero(first), len(table))  # the items of each window
+        self.ids = ids
         self.shortest = int(self.lens.min()) if len(self.lens) else 0
-        size = len(self.vocab) + 1
-        pairs = [a * size + b for p in self.windows for a, b in zip(p[:-1], p[1:], strict=True)]
-        self.pairs = np.unique(np.array(pairs, np.int64))
+        pairs = self.table[:, :-1].astype(np.int64) * (len(self.vocab) + 1) + self.table[:, 1:]
+        self.pairs = np.unique(pairs[self.table[:, 1:] > 0])
+
+    def items(self, p: int) -> set[str]:
+        """Ids of the items that have window p; items without an id are not named."""
+        return {i for k in self.item[self.cuts[p] : self.cuts[p + 1]].tolist() if (i := self.ids[k]) is not None}
 
     def symbols(self, h: np.ndarray) -> np.ndarray:
         """The number of each word hash, 0 where no phrase has it."""
@@ -190,7 +200,7 @@ def _shard(col: pa.Array, phrases: Phrases) -> list[pa.Array]:
     pairs = np.unique(np.stack([doc, which], 1), axis=0) if len(doc) else np.zeros((0, 2), int)
     names: dict[int, set] = {}
     for d, p in pairs.tolist():
-        names.setdefault(d, set()).update(phrases.items[p])
+        names.setdefault(d, set()).update(phrases.items(p))
     for d, found in names.items():
         items[d] = sorted(found)
     doc_of = np.repeat(np.arange(n), np.diff(b))
@@ -206,16 +216,13 @@ def _shard(col: pa.Array, phrases: Phrases) -> list[pa.Array]:
     return [pa.array(np.diff(b)), pa.array(total[b[1:]] - total[b[:-1]]), pa.array(items, pa.list_(pa.string())), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), spans)]
 
 
-def phrase_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> list:
-    """The test items as broadcast phrase tables of at most BLOCK_BYTES of text each (one item may exceed it)."""
-    spark = benchmark.sparkSession
-    rows = benchmark.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
+def phrase_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> tuple[int, Iterator]:
+    """(number of blocks, the test items as phrase tables of about BLOCK_BYTES of text each, made when asked for; one item may exceed it)."""
+    rows = benchmark.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     total = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    blocks = []
-    for k in range(-(-total // BLOCK_BYTES) or 1):
-        part = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(-(-total // BLOCK_BYTES) or 1)) == k).collect()
-        blocks.append(spark.sparkContext.broadcast(Phrases([r["id"] for r in part], [r["text"] for r in part])))
-    return blocks
+    n = max(1, -(-total // BLOCK_BYTES))
+    parts = (rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k).collect() for k in range(n))
+    return n, (Phrases([r["id"] for r in part], [r["text"] for r in part]) for part in parts)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
@@ -230,16 +237,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text")
         return df.withColumn("_text", F.col(text_col).cast("string")).mapInArrow(run, f"{fields}, {SCHEMA}")
 
     docs = docs.drop("n_words", "n_hit", "items", "spans")
-    blocks = phrase_blocks(benchmark)
-    if len(blocks) == 1:
-        return scan(docs, blocks[0])
+    sc = docs.sparkSession.sparkContext
+    n, blocks = phrase_blocks(benchmark)
+    if n == 1:
+        return scan(docs, sc.broadcast(next(blocks)))
     keyed = docs.withColumn("_row", F.monotonically_increasing_id())
     keyed = stage(keyed, "rows")
-    found = union_all([stage(scan(keyed.select("_row", text_col), p).where("n_hit > 0").select("_row", "items", "spans"), "hits") for p in blocks])
+    hits = []
+    for phrases in blocks:
+        shared = sc.broadcast(phrases)
+        hits.append(stage(scan(keyed.select("_row", text_col), shared).where("n_hit > 0").select("_row", "items", "spans"), "hits"))
+        shared.destroy()
+    found = union_all(hits)
     found = found.groupBy("_row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
     merged = "aggregate(spans, cast(array() as array<struct<start:bigint,end:bigint>>), (a, s) -> case when size(a) > 0 and s.start <= element_at(a, -1).end then concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'end', greatest(element_at(a, -1).end, s.end)))) else concat(a, array(s)) end)"
     found = found.withColumn("spans", F.expr(merged))
-    words = scan(keyed, blocks[0]).drop("items", "spans", "n_hit")
+    words = scan(keyed, sc.broadcast(Phrases([], []))).drop("items", "spans", "n_hit")  # no phrases: counts words only
     both = words.join(found, "_row", "left")
 
     def count(batches):
@@ -303,7 +316,7 @@ grams AS (
   FROM (SELECT r, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM dw, sizes WHERE len(w) >= m)),
 occ AS (SELECT g.r, g.i, g.m, g.p FROM grams g JOIN pats USING (p)),
 hits AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest(range(i, i + m)) AS j FROM occ) GROUP BY r),
-its AS (SELECT r, list_sort(list(DISTINCT item_id::VARCHAR)) AS l FROM occ JOIN wins USING (p) GROUP BY r)
+its AS (SELECT r, list_sort(list(DISTINCT item_id::VARCHAR)) AS l FROM occ JOIN wins USING (p) WHERE item_id IS NOT NULL GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(hits.n, 0)::BIGINT AS n_hit, coalesce(len(l), 0)::BIGINT AS n_items,
   sha256(coalesce(array_to_string(l, ','), '')) AS items_sha256, coalesce(len(l), 0) >= 2 AS contaminated
 FROM dw LEFT JOIN hits USING (r) LEFT JOIN its USING (r)

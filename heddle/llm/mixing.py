@@ -19,6 +19,8 @@ all rates are 1; rows repeating an id are separate; extra columns pass through.
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +34,8 @@ MAX_FEATURES = 16384
 EVIDENCE = 32
 ITERATIONS = 60
 TOLERANCE = 1e-6
+MISS = 1e-3
+log = logging.getLogger(__name__)
 
 
 class Classifier:
@@ -77,7 +81,8 @@ def train(docs: DataFrame, labels: DataFrame, domain_col: str = "lang", id_col:
     ids = labels.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id")).distinct()
     ids = ids.orderBy(F.xxhash64(F.col("_id").cast("string"), F.lit(6)), "_id").limit(MAX_LABELLED)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(domain_col).cast("string").alias("_mark"), F.col(text_col).cast("string").alias("_text"))
-    rows = rows.where("_mark is not null and _text is not null").join(F.broadcast(ids), "_id").select("_mark", "_text")
+    rows = rows.where("_mark is not null and _text is not null").join(F.broadcast(ids), "_id")
+    rows = rows.groupBy("_id").agg(F.min(F.struct("_mark", "_text")).alias("r")).select("r._mark", "r._text")  # an id that documents repeat counts once
 
     def run(batches):
         for batch in T.docs_in_batch(batches, "_text"):
@@ -147,7 +152,11 @@ def _members(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, domain_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with n_words, posteriors (map from domain) and rate; targets: weights by domain, equal by default."""
+    """``docs`` with n_words, posteriors (map from domain) and rate; targets: weights by domain, equal by default.
+
+    The shares of tokens reached are the frame's attribute ``shares`` (domain to share and target); where one misses its target by
+    more than MISS, as when a domain has no tokens, a warning says so.
+    """
     sc = docs.sparkSession.sparkContext
     model = train(docs, labels, domain_col, id_col, text_col)
     weights = np.array([max(0.0, (targets or {}).get(d, 0.0 if targets else 1.0)) for d in model.domains])
@@ -161,8 +170,12 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
             yield pa.RecordBatch.from_arrays([pa.array(t[keep]), _lists(p[keep])], ["tokens", "p"])
 
     members = stage(docs.select(F.col(text_col).cast("string").alias("_text")).mapInArrow(classify, "tokens long, p array<double>"), "members")
-    history, _ = fit_rates(members, weights)
+    history, totals = fit_rates(members, weights)
     unstage(members)
+    reached = totals / totals.sum() if totals.sum() > 0 else weights
+    shares = {d: (float(x), float(w)) for d, x, w in zip(model.domains, reached, weights, strict=True)}
+    if any(abs(x - w) > MISS for x, w in shares.values()):
+        log.warning("targets missed; shares reached and wanted: %s", shares)
 
     def rate(batches):
         for batch in T.docs_in_batch(batches, "_text"):
@@ -174,7 +187,9 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     out = docs.withColumn("_text", F.col(text_col).cast("string")).mapInArrow(rate, f"{fields}, n_words long, posteriors array<double>, rate double")
     names = F.array(*(F.lit(d) for d in model.domains))
-    return out.withColumn("posteriors", F.map_from_arrays(names, "posteriors"))
+    out = out.withColumn("posteriors", F.map_from_arrays(names, "posteriors"))
+    out.shares = shares  # type: ignore[attr-defined]
+    return out
 
 
 def _lists(p: np.ndarray) -> pa.Array:

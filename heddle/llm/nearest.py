@@ -1,14 +1,14 @@
 """Nearest neighbours by a block matrix join.
 
-Queries are dealt to rows, candidates to columns of a grid by a hash of vec_id; each tile multiplies a block of at most
+Queries are dealt to rows, candidates to columns of a grid by a hash of vec_id and place; each tile multiplies a block of at most
 about QUERY_BLOCK queries with one of about CANDIDATE_BLOCK candidates.  Unit vectors are quantised to int8; the integer
 products (exact in float arithmetic) give each cosine with an error bound from the lengths of the quantisation errors.
 Pairs whose upper bound reaches the k-th largest lower bound survive and are recomputed in double precision on the
 original vectors; k of each tile and query are merged by heaps.  The bounds hold, so the result is exact (recall 1).
 
 Edge cases: vectors null, empty, zero, or holding null or non-finite components take no part, nor do null ids.  Vectors
-of another length than the query's are no candidates.  Rows that repeat a vec_id count once, with the smallest vector.
-Ties go to the smaller vec_id.  No queries or candidates: no rows.
+of another length than the query's are no candidates.  Rows that repeat a vec_id are each a candidate (and a query, their
+results ranked together); no row is a candidate of a query of its own id.  Ties go to the smaller vec_id.  No queries or candidates: no rows.
 """
 
 from __future__ import annotations
@@ -36,8 +36,20 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return code, step, err
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows whose squares would overflow or vanish, times a power of two, which changes no cosine; others as they are."""
+    top = np.abs(x).max(1)
+    odd = (top > 1e100) | (top < 1e-100)
+    if not odd.any():
+        return x
+    x = x.copy()
+    x[odd] = np.ldexp(x[odd], -np.frexp(top[odd])[1][:, None])
+    return x
+
+
 def cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Exact double cosines of one vector with the rows of x, summed in component order."""
+    """Double cosines of one vector with the rows of x, summed in component order; extreme vectors are scaled by powers of two."""
+    q, x = _scaled(q[None, :])[0], _scaled(x)
     dot = nq = 0.0
     nx = np.zeros(len(x))
     for d in range(len(q)):
@@ -85,8 +97,6 @@ def _pack(side: int):
             raw = np.array(part["v"].tolist(), np.float64)
             order = np.lexsort((*raw.T[::-1], part["id"].to_numpy()))
             ids, raw = part["id"].to_numpy()[order], raw[order]
-            once = np.concatenate([[True], ids[1:] != ids[:-1]])
-            ids, raw = ids[once], raw[once]
             unit = raw / np.abs(raw).max(1)[:, None]
             code, step, err = quantise(unit / np.sqrt((unit**2).sum(1))[:, None])
             rows.append((side, int(key[0]), int(key[0]), int(dim), *(a.tobytes() for a in (ids, code, step, err, raw))))
@@ -108,7 +118,8 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", ve
     clean = clean.withColumn("dim", F.size("v"))
     n = clean.agg(F.count("*").alias("n"), F.count_if("q").alias("q")).first()
     rows, cols = max(1, -(-n["q"] // QUERY_BLOCK)), max(1, -(-n["n"] // CANDIDATE_BLOCK))
-    slot = lambda m: F.pmod(F.xxhash64("id"), F.lit(m)).cast("int")
+    # By id and place in the input: rows of one id spread over the blocks.
+    slot = lambda m: F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(m)).cast("int")
     query = clean.where("q").withColumn("slot", slot(rows)).groupBy("slot").applyInPandas(_pack(0), _BLOCK)
     cand = clean.withColumn("slot", slot(cols)).groupBy("slot").applyInPandas(_pack(1), _BLOCK)
     blocks = stage(query.unionByName(cand), "blocks")

@@ -22,8 +22,8 @@ every document.  Cutting that order into fragments cuts every document's set int
 Components over verified links and equal sets are exact.
 
 Edge cases: null or empty text, or text without words: n_shingles 0, linked with nothing.  Null doc_id: the row stays,
-component_id is null.  Rows repeating a doc_id are one node; the text with the smallest digest stands for it, each row
-keeps its own n_shingles.  Extra input columns are ignored.
+component_id is null and it links nothing.  Rows repeating a doc_id: each row's text is a set of its own with its own n_shingles,
+and the id has the links of all of them.  Extra input columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,9 +32,8 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as T
@@ -42,6 +41,7 @@ from .common import bit_filter, components, stage, unstage
 
 FRAGMENTS = 8  # of the verification
 CELLS = 256  # of the bound
+SLICE = 1 << 20  # bytes of text handled at once
 FAMILY = 8192
 PREFIX_BELOW = 85
 _K = np.array([0xA24BAED4963EE407, 0x9FB21C651E98DF25], np.uint64)
@@ -132,23 +132,30 @@ def bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def row_node(doc: str, text: str) -> Column:
+    """What a row is known by: texts are found again by it, so it hashes the text too; an unlucky pair of rows only loses a link."""
+    return F.xxhash64(F.col(doc).cast("string"), F.col(text))
+
+
 def signatures(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(node, n_shingles, digest, keys, counts): one Python pass over the texts, no shuffle."""
+    """(doc, node, n_shingles, digest, keys, counts): one Python pass over the texts, no shuffle."""
     classes = size_classes(percent)
     starts = np.array([c[0] for c in classes])
 
     def run(batches):
-        for batch in T.docs_in_batch(batches, "text"):
+        for batch in T.docs_in_batch(batches, "text", SLICE):
             sizes, digests, keys, counts = [], [], [], []
             for u in shingle_sets(batch.column(1), n):
                 sizes.append(len(u))
                 digests.append(set_digest(u) if len(u) else None)
                 keys.append(segment_keys(u, percent, classes, starts).tobytes() if len(u) else b"")
                 counts.append(fragment_counts(u) if len(u) else b"")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], ["node", "n_shingles", "digest", "keys", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], ["of", "n_shingles", "digest", "keys", "counts"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "node long, n_shingles long, digest binary, keys binary, counts binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.select(F.struct("doc", row_node("doc", "text").alias("node")).alias("of"), "text")
+    out = rows.mapInArrow(run, "of struct<doc:long,node:long>, n_shingles long, digest binary, keys binary, counts binary")
+    return out.select("of.*", "n_shingles", "digest", "keys", "counts")
 
 
 def _local_stars(batches):
@@ -192,7 +199,7 @@ def _global_stars(batches):
 def verified(texts: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
     """Of ``pairs`` (a, b) of class representatives, those linked; overlaps are counted per fragment and summed per pair."""
     def run(batches):
-        for batch in T.docs_in_batch(batches, "text"):
+        for batch in T.docs_in_batch(batches, "text", SLICE):
             node, frag, size, toks = [], [], [], []
             for i, digest, u in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), shingle_sets(batch.column(1), n), strict=True):
                 if set_digest(u) != digest:  # another text under the same id
@@ -233,17 +240,17 @@ def open_members(links: DataFrame, comp: DataFrame) -> DataFrame:
 
 def family_pairs(member: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components that share a segment group or family and pass the bound."""
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.frombuffer(b"".join(pdf["counts"]), "<u2").reshape(-1, CELLS)
-        node, root, size = (pdf[c].to_numpy() for c in ("node", "root", "n_shingles"))
-        a, b = [], []
+    def run(table: pa.Table) -> pa.Table:
+        x = _counts(table.column("counts").combine_chunks())
+        node, root, size = (table.column(c).to_numpy() for c in ("node", "root", "n_shingles"))
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i in range(len(node) - 1):
             rest = i + 1 + np.flatnonzero((root[i + 1 :] != root[i]) & (100 * np.minimum(size[i], size[i + 1 :]) >= percent * np.maximum(size[i], size[i + 1 :])))
             if len(rest):
                 rest = rest[may_link(x[i][None], x[rest], size[i], size[rest], percent)]
                 a.append(np.full(len(rest), node[i]))
                 b.append(node[rest])
-        return pd.DataFrame({"a": np.concatenate([*a, np.zeros(0, np.int64)]), "b": np.concatenate([*b, np.zeros(0, np.int64)])})
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
     hub = member.groupBy("key").agg(F.min("node").alias("hub"))
     family = components(member.join(hub, "key").select(F.col("node").alias("a"), F.col("hub").alias("b")))
@@ -252,7 +259,7 @@ def family_pairs(member: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     nodes = member.select("node", "root").distinct().join(family, "node").join(sizes, "family")
     small = (
         nodes.where(F.col("m") <= FAMILY).join(sets, "node").select("family", "node", "root", "n_shingles", "counts")
-        .groupBy("family").applyInPandas(run, "a long, b long")
+        .groupBy("family").applyInArrow(run, "a long, b long")
     )
     big = member.join(nodes.where(F.col("m") > FAMILY).select("node"), "node", "left_semi")
     other = big.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"))
@@ -262,9 +269,8 @@ def family_pairs(member: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included)."""
     sigs = stage(signatures(docs, n, percent, id_col, text_col), "signatures")
-    full = sigs.where("node is not null and n_shingles > 0")
-    nodes = full.groupBy("node").agg(F.min("digest").alias("digest"))
-    classes = stage(nodes.withColumn("rep", F.col("node")).groupBy("digest").agg(F.min("rep").alias("rep")), "classes")
+    full = sigs.where("doc is not null and n_shingles > 0")
+    classes = stage(full.groupBy("digest").agg(F.min("node").alias("rep")), "classes")
     reps = full.join(classes.select("digest", F.col("rep").alias("node")).hint("shuffle_hash"), ["digest", "node"], "left_semi")
     links = (
         reps.select("node", "keys").mapInArrow(_local_stars, "key long, node long, leader long")
@@ -274,7 +280,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     )
     links = stage(links, "stars")
     sets = stage(reps.select("node", "n_shingles", "counts").dropDuplicates(["node"]), "sets")
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).select(row_node("doc", "text").alias("node"), "text")
 
     def check(pairs: DataFrame) -> DataFrame:
         pairs = stage(bounded(pairs.distinct(), sets, percent), "pairs")
@@ -289,11 +295,18 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
         edges = edges.union(check(family_pairs(member, sets, percent)))
         comp = stage(components(edges), "components")
     unstage(member)
-    found = classes.select("digest", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("c"))
-    by_node = nodes.join(found, "digest").select("node", F.col("c").alias("component_id"))
+    # An id with several texts is in the classes of all of them, which it ties together.
+    of = stage(full.select("doc", "digest").join(classes, "digest").select("doc", "rep"), "classes-of")
+    tied = of.groupBy("doc").agg(F.min("rep").alias("b"), F.max("rep").alias("hi")).where("b <> hi").select("doc", "b")
+    tied = stage(of.join(tied, "doc").where("rep <> b").select(F.col("rep").alias("a"), "b").distinct(), "tied")
+    if not tied.isEmpty():
+        comp = stage(components(edges.union(tied)), "components")
+    of = of.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("doc", F.coalesce("root", "rep").alias("root"))
+    least = of.groupBy("root").agg(F.min("doc").alias("component_id"))
+    by_doc = of.distinct().join(least, "root").where("doc <> component_id").select("doc", "component_id")
     return (
-        sigs.select("node", "n_shingles").join(by_node, "node", "left")
-        .select(F.col("node").alias("doc_id"), "n_shingles", F.coalesce("component_id", "node").alias("component_id"))
+        sigs.select("doc", "n_shingles").join(by_doc, "doc", "left")
+        .select(F.col("doc").alias("doc_id"), "n_shingles", F.coalesce("component_id", "doc").alias("component_id"))
     )
 
 
@@ -303,15 +316,14 @@ def op2_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
 
 OP2_SQL = r"""
 WITH RECURSIVE toks AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 sh AS (
-  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+  SELECT DISTINCT r, doc_id, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
     ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM toks),
-sizes AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
-links AS (
-  SELECT x.doc_id AS a, y.doc_id AS b FROM sh x JOIN sh y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2
-  HAVING 100 * count(*) >= 90 * ((SELECT n FROM sizes WHERE sizes.doc_id = x.doc_id) + (SELECT n FROM sizes WHERE sizes.doc_id = y.doc_id) - count(*))),
+sizes AS (SELECT r, count(*) AS n FROM sh GROUP BY r),
+common AS (SELECT x.r AS x, y.r AS y, x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM sh x JOIN sh y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2, 3, 4),
+links AS (SELECT DISTINCT a, b FROM common JOIN sizes p ON p.r = x JOIN sizes q ON q.r = y WHERE 100 * i >= 90 * (p.n + q.n - i)),
 reach(a, b) AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
-SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(r.m, d.doc_id)) AS component_id
-FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY a) r USING (doc_id)
+SELECT t.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, least(t.doc_id, coalesce(m.m, t.doc_id)) AS component_id
+FROM toks t LEFT JOIN sizes s USING (r) LEFT JOIN (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY a) m USING (doc_id)
 """

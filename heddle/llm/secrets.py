@@ -1,14 +1,15 @@
 """Secret scan with an incremental blob ledger, in DataFrame operations only.
 
-Every version of every path is content-addressed (SHA-256 of its text).  A blob is scanned once per rule version: blobs
-whose (address, rule version) the ledger already has are skipped, and blobs with many paths are read from one of them.
-Findings are joined back to all paths by address.
+Every version of every path is content-addressed (SHA-256 of its text).  The ledger is a table keyed by (blob, rule, version of
+the rule) with the spans found, none included.  A run scans only the pairs of blob and rule version that the ledger lacks: a blob
+with many paths is read from one of them, and a rule with a new version runs alone over old blobs.  Findings are joined
+back to all paths by address.  Texts are scanned where they are read; only addresses and findings are shuffled.
 
 Rules: assign, access and hex as in the query's contract; added: ``pem`` private key headers, ``jwt`` tokens and ``url``
 credentials.  Rules are plain patterns without checksums.
 
-Edge cases: null texts count as empty; empty tables give no rows; rows repeating an id are all reported; extra columns are
-ignored; the ledger may be absent.
+Edge cases: null texts count as empty; empty tables give no rows; rows repeating an id are all reported, rows of a null id too;
+extra columns are ignored; the ledger may be absent.
 """
 
 from __future__ import annotations
@@ -16,10 +17,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
-from .spans import keep, listed, matches
+from .common import bit_filter, read, stage, union_all
+from .spans import SPAN, keep, listed, matches
 
-RULE_VERSION = "1"
 CONTEXT = 48  # characters before a span in which context words count
 # The base patterns.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+"""
@@ -27,10 +27,12 @@ ASSIGN_VALUE = r"""^(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 PEM = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
-JWT = r"eyJ[A-Za-z0-9_-]++\.eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++"
-URL = r"[a-z][a-z0-9+]{1,20}://[^\x00-\x20/:@]{1,64}:[^\x00-\x20/:@]{1,64}@"
+# A token starts where a run of its characters starts, so a long run is read once.
+JWT = r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]++\.eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++"
+URL = r"[a-z][a-z0-9+]{1,20}://[^\x00-\x20/:@]++:[^\x00-\x20/:@]++@"
 
 KINDS = ("assign", "access", "hex", "pem", "jwt", "url")
+RULE_VERSIONS = {"assign": "1", "access": "1", "hex": "1", "pem": "1", "jwt": "2", "url": "2"}
 
 
 def rules(text: Column) -> dict[str, Column]:
@@ -48,39 +50,57 @@ def address(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def scan(blobs: DataFrame, rule_version: str = RULE_VERSION) -> DataFrame:
-    """(blob, rule_version, one array of spans per kind) for rows (blob, text)."""
-    found = rules(F.col("text"))
-    return blobs.select("blob", F.lit(rule_version).alias("rule_version"), *(found[k].alias(k) for k in KINDS))
+LEDGER = f"blob string, rule string, rule_version string, spans {SPAN}"
 
 
-def scan_versions(versions: DataFrame, id_col: str, text_col: str, ledger: DataFrame | None = None, rule_version: str = RULE_VERSION):
-    """(findings per path, ledger with this run's blobs).  ``ledger``: what an earlier call returned."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    paths = versions.select(F.col(id_col).alias("id"), address(text).alias("blob"))
-    # The path from which a blob is read: an aggregate over addresses, so no text is shuffled for blobs seen before.
+def pending(paths: DataFrame, ledger: DataFrame | None, versions: dict[str, str]) -> DataFrame:
+    """(blob, id, rules): for each blob that some rule has not seen in its present version, the path to read it from."""
     one = paths.groupBy("blob").agg(F.min("id").alias("id"))
-    if ledger is not None:
-        done = ledger.where(F.col("rule_version") == rule_version).select("blob")
-        one = one.join(done, "blob", "left_anti")
-    texts = versions.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("blob", address(F.col("text")))
-    joined = texts.join(one.hint("shuffle_hash"), (texts["blob"] == one["blob"]) & texts["id"].eqNullSafe(one["id"]), "left_semi")
-    fresh = scan(joined.select("blob", "text"), rule_version).dropDuplicates(["blob"])
-    book = fresh if ledger is None else ledger.where(F.col("rule_version") == rule_version).unionByName(fresh)
-    return paths.join(book, "blob"), book
-
-
-def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    findings, _ = scan_versions(read(spark, sf_dir, "documents"), "doc_id", "text")
+    every = F.array(*(F.lit(k) for k in versions))
+    if ledger is None:
+        return one.withColumn("rules", every)
+    current = F.map_from_arrays(every, F.array(*(F.lit(v) for v in versions.values())))
+    done = ledger.where(F.col("rule_version") == current[F.col("rule")]).groupBy("blob").agg(F.collect_set("rule").alias("done"))
+    left = one.join(done, "blob", "left").select("blob", "id", F.array_except(every, F.coalesce("done", F.array().cast("array<string>"))).alias("rules"))
+    return left.where(F.size("rules") > 0)
+
+
+def scan_versions(versions: DataFrame, id_col: str, text_col: str, ledger: DataFrame | None = None, rule_versions: dict[str, str] = RULE_VERSIONS):
+    """(findings per path: id, blob and an array of spans per rule; the ledger rows that this run adds)."""
+    texts = versions.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("blob", address(F.col("text")))
+    paths = stage(texts.select("id", "blob"), "paths")
+    todo = stage(pending(paths, ledger, rule_versions), "pending")
+    place = F.xxhash64(F.col("id").cast("string"), "blob")
+    fresh = []
+    # Blobs that lack the same rules are scanned together; there are as many such sets as there have been changes of rules.
+    for row in todo.select("rules").distinct().collect():
+        wanted = todo.where(F.col("rules") == F.array(*(F.lit(k) for k in row["rules"]))).select("blob", "id").withColumn("place", place)
+        spans = rules(F.col("text"))
+        found = bit_filter(texts.withColumn("place", place), "place", wanted, "place").select("place", "blob", *(spans[k].alias(k) for k in row["rules"]))
+        # The bit table lets some other paths through: the exact join.
+        found = found.join(wanted.select("place", "blob"), ["place", "blob"], "left_semi").dropDuplicates(["blob"])
+        entries = F.explode(F.array(*(F.struct(F.lit(k).alias("rule"), F.lit(rule_versions[k]).alias("rule_version"), F.col(k).alias("spans")) for k in row["rules"])))
+        fresh.append(found.select("blob", entries.alias("e")).select("blob", "e.*"))
+    # The ledger is a table: findings come from what is written in it.
+    added = stage(union_all(fresh), "ledger") if fresh else paths.sparkSession.createDataFrame([], LEDGER)
+    book = added if ledger is None else ledger.select("blob", "rule", "rule_version", "spans").union(added)
+    current = book.where(" or ".join(f"rule = '{k}' and rule_version = '{v}'" for k, v in rule_versions.items()))
+    by_blob = current.groupBy("blob").agg(*(F.max(F.when(F.col("rule") == k, F.col("spans"))).alias(k) for k in rule_versions))
+    return paths.join(by_blob, "blob"), added
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str, ledger: DataFrame | None = None) -> DataFrame:
+    findings, _ = scan_versions(read(spark, sf_dir, "documents"), "doc_id", "text", ledger)
     base = [(k, F.col(k)) for k in KINDS[:3]]
     return findings.select(
         F.col("id").alias("doc_id"), *(F.size(c).cast("long").alias(f"n_{k}") for k, c in base),
         F.sha2(listed(base), 256).alias("base_sha256"), listed([(k, F.col(k)) for k in KINDS]).alias("spans"))
 
 
-def span_sql(kinds: list[tuple[str, str, str]], base: int, context: dict | None = None) -> str:
+def span_sql(kinds: list[tuple[str, str, str]], base: int, context: dict | None = None, lead: dict | None = None) -> str:
     """DuckDB SQL of span lists; kinds: (name, pattern without groups, SQL condition on the match m).
 
+    ``lead``: by kind how many characters before the span its pattern takes, for want of look-behind.
     ``context``: by kind its prior, its raised score and the pattern of its context words; adds top_score.
     """
     def score(name: str) -> str:
@@ -91,7 +111,7 @@ def span_sql(kinds: list[tuple[str, str, str]], base: int, context: dict | None
 
     length = lambda part: f"coalesce(list_sum(list_transform({part}, lambda x: len(x))), 0)"
     parts = "\nUNION ALL ".join(
-        f"SELECT r, {i} AS k, '{name}' AS kind, start, start + len(m) AS stop, {score(name)} AS score FROM ("
+        f"SELECT r, {i} AS k, '{name}' AS kind, start + {(lead or {}).get(name, 0)} AS start, start + len(m) AS stop, {score(name)} AS score FROM ("
         f"SELECT r, t, m, ({length('g[1:j]')} + {length('f[1:j - 1]')})::BIGINT AS start FROM ("
         f"SELECT r, t, f, g, unnest(f) AS m, unnest(range(1, len(f) + 1)) AS j FROM ("
         f"SELECT r, t, regexp_extract_all(t, '{p}') AS f, regexp_split_to_array(t, '{p}') AS g FROM d))) WHERE {cond}"
@@ -114,6 +134,6 @@ OP5_SQL = span_sql([
     ("access", "AKIA[A-Z0-9]+", "len(m) >= 20"),
     ("hex", "[0-9a-f]+", "len(m) >= 24"),
     ("pem", PEM, _PLAIN),
-    ("jwt", JWT.replace("++", "+"), _PLAIN),
-    ("url", URL, _PLAIN),
-], 3)
+    ("jwt", "(?:^|[^A-Za-z0-9_-])" + JWT[JWT.index("eyJ"):].replace("++", "+"), _PLAIN),
+    ("url", URL.replace("++", "+"), _PLAIN),
+], 3, lead={"jwt": "CASE WHEN m LIKE 'eyJ%' THEN 0 ELSE 1 END"})

@@ -2,8 +2,9 @@
 
 A byte-level BPE tokenizer encodes every pre-token on its own, so a text's count is the sum of its pre-tokens' lengths.
 Tier 1 is a broadcast table of the frequent pre-tokens, bounded by the vocabulary: the vocabulary entries that are whole
-pre-tokens, which is what training on frequent pre-tokens leaves.  Tier 2 is a cache in each worker, filled by encoding
-the pre-tokens of a slice that neither tier has; over CACHE_LIMIT entries it starts anew.  Nothing is shuffled.
+pre-tokens, which is what training on frequent pre-tokens leaves.  Tier 2 is a cache in each worker process, filled by encoding
+the pre-tokens of a slice that neither tier has; it outlives the task, as does the parsed tokenizer, and over CACHE_LIMIT
+entries it starts anew.  Nothing is shuffled.
 
 Strings of special tokens inside a text are split off first and count one each, as the library does by default.
 Texts with characters outside SAFE are cut into pre-tokens by the library, as Unicode versions of regex engines differ.
@@ -110,6 +111,18 @@ class Counter:
         return out
 
 
+_kept: dict[int, Counter] = {}
+
+
+def worker_counter(text: str, table: dict[str, int]) -> Counter:
+    """The worker process's counter for a tokenizer: made by its first task, kept for the next ones."""
+    key = hash(text)
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = Counter(text, table)
+    return _kept[key]
+
+
 def frequent_lengths(text: str) -> dict[str, int]:
     """Tier 1: the vocabulary's entries that are one pre-token, with their lengths in tokens."""
     counter = Counter(text, None)
@@ -154,7 +167,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, text_col: str = "text", o
         shared = sc.broadcast((spec, frequent_lengths(spec)))
 
         def run(batches):
-            counter = Counter(*shared.value)
+            counter = worker_counter(*shared.value)
             for batch in T.docs_in_batch(batches, "_text", 1 << 20):
                 n = counter.counts(batch.column(batch.num_columns - 1).to_pylist())
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n, pa.int64())], [*batch.schema.names[:-1], out])

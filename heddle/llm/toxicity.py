@@ -1,15 +1,16 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic examples (P) and unlabelled text (U: texts whose labels, toxic or not, are not looked at) train a sparse
-linear classifier in numpy.  The risk is corrected by the class prior pi:
+Confirmed toxic examples (P) and unlabelled text (U: any documents, whose labels, if they have some, are not looked at) train a
+sparse linear classifier in numpy.  The risk is corrected by the class prior pi:
 
     pi * E_P[loss(+)] + max(0, E_U[loss(-)] - pi * E_P[loss(-)])
 
 with logistic loss, so the score is an estimate of the posterior.  When the bracket turns negative, the step is taken
 against its gradient, as usual for the non-negative estimator.  An L1 proximal step keeps the weights sparse.
 
-The classifier is fitted on at most MAX_POSITIVE and MAX_UNLABELLED labelled rows, those with the smallest hash of their
-id; pi is the share of toxic rows among the labelled rows that may be learned from.  Scoring covers every whole text.
+The classifier is fitted on at most MAX_POSITIVE toxic and MAX_UNLABELLED other ids, those with the smallest hash of the id;
+an id that documents repeat counts once, with its smallest text; pi is the share of toxic rows among the labelled rows that may be
+learned from.  Scoring covers every whole text.
 
 Edge cases: null and empty texts score as a text without features; rows with a null doc_id are scored and not held out;
 several labels of one id count as toxic if one is; without positives every score is 0; labels, lang, source and ids are
@@ -112,14 +113,15 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fit on labelled rows that ``usable`` (over the id) allows; the sample is bounded, its features go to the driver."""
+    """Fit on rows that ``usable`` (over the id) allows; the sample is bounded, its features go to the driver."""
     marks = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & usable).groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("_y"))
     count = marks.agg(F.count("*").alias("n"), F.coalesce(F.sum("_y"), F.lit(0)).alias("p")).first()
     if not count["p"]:
         return Model(np.zeros(0, np.uint64), np.zeros(0), -30.0)
     order = F.xxhash64(F.col("_id").cast("string"), F.lit(3))
     pos = marks.where("_y = 1").orderBy(order, "_id").limit(MAX_POSITIVE).select("_id", F.lit(1).alias("_p"))
-    unl = marks.orderBy(F.xxhash64(F.col("_id").cast("string"), F.lit(4)), "_id").limit(MAX_UNLABELLED).select("_id", F.lit(0).alias("_p"))
+    any_ = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & usable).select(F.col(id_col).alias("_id")).distinct()
+    unl = any_.orderBy(F.xxhash64(F.col("_id").cast("string"), F.lit(4)), "_id").limit(MAX_UNLABELLED).select("_id", F.lit(0).alias("_p"))
     sample = pos.union(unl)
 
     def run(batches):
@@ -129,7 +131,8 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc
 
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).where("_text is not null")
     # At most MAX_POSITIVE + MAX_UNLABELLED ids: a bounded broadcast.
-    rows = texts.join(F.broadcast(sample), "_id").select("_p", "_text").mapInArrow(run, "_p int, words binary").collect()
+    found = texts.join(F.broadcast(sample), "_id").groupBy("_id", "_p").agg(F.min("_text").alias("_text"))
+    rows = found.select("_p", "_text").mapInArrow(run, "_p int, words binary").collect()
     sets = [sorted((np.frombuffer(r["words"], np.uint64) for r in rows if r["_p"] == p), key=lambda x: x.tobytes()) for p in (1, 0)]
     return fit(sets[0], sets[1], count["p"] / count["n"])
 
