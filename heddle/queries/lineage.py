@@ -11,7 +11,7 @@ from .common import digest, read
 QUERIES: dict = {}
 _EDGES = "(SELECT 'n' || n_nationkey AS addr, 'r' || n_regionkey AS input FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey FROM orders)"
 _DOWN = f"WITH RECURSIVE e AS {_EDGES}, d(addr, depth) AS (SELECT 'r1' AS addr, 0 AS depth UNION SELECT e.addr, d.depth + 1 FROM d JOIN e ON e.input = d.addr)"
-_UP = f"WITH RECURSIVE e AS {_EDGES}, d(addr, depth) AS (SELECT 'o' || o_orderkey AS addr, 0 AS depth FROM orders WHERE o_orderkey < 100 UNION SELECT e.input, d.depth + 1 FROM d JOIN e ON e.addr = d.addr)"
+_UP = f"WITH RECURSIVE e AS {_EDGES}, d(addr, depth) AS (SELECT 'o' || o_orderkey AS addr, 0 AS depth FROM orders UNION SELECT e.input, d.depth + 1 FROM d JOIN e ON e.addr = d.addr)"
 
 
 def edges(spark, sf_dir):
@@ -44,7 +44,7 @@ def direct_dependents(spark, sf_dir):
 
 @query("transitive_inputs", f"{_UP} SELECT addr, min(depth) AS depth FROM d WHERE depth > 0 GROUP BY addr")
 def transitive_inputs(spark, sf_dir):
-    roots = read(spark, sf_dir, "orders").where("o_orderkey < 100").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("addr"))
+    roots = read(spark, sf_dir, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("addr"))
     return G.ancestors(edges(spark, sf_dir), roots)
 
 
@@ -59,11 +59,18 @@ def gc_live(spark, sf_dir):
     return G.live_set(e, e.select("addr").distinct(), spark.createDataFrame([("p1",)], "addr string"))
 
 
-@query("gc_garbage", "SELECT 'c' || c_custkey AS addr, c_custkey AS size, (c_custkey % 1000)::INT AS age_seconds FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) AND c_custkey % 1000 >= 300")
+_OPEN = "(SELECT DISTINCT l_orderkey FROM lineitem WHERE l_linestatus = 'O')"
+
+
+def _open_orders(spark, sf_dir):
+    return read(spark, sf_dir, "lineitem").where("l_linestatus = 'O'").select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("addr")).distinct()
+
+
+@query("gc_garbage", f"SELECT 'o' || o_orderkey AS addr, o_custkey AS size, (o_custkey % 1000)::INT AS age_seconds FROM orders WHERE o_orderkey NOT IN {_OPEN} AND o_custkey % 1000 >= 300")
 def gc_garbage(spark, sf_dir):
-    leaves = read(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("addr"), F.col("c_custkey").alias("size"), (F.col("c_custkey") % 1000).cast("int").alias("age_seconds"))
-    live = read(spark, sf_dir, "orders").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("addr")).distinct()
-    return G.garbage(leaves, live, grace_seconds=300)
+    """Orders as leaves, in use while a line of them is open; ages are made up from customer keys."""
+    leaves = read(spark, sf_dir, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("addr"), F.col("o_custkey").alias("size"), (F.col("o_custkey") % 1000).cast("int").alias("age_seconds"))
+    return G.garbage(leaves, _open_orders(spark, sf_dir), grace_seconds=300)
 
 
 @query("gc_orphans", f"SELECT DISTINCT addr FROM {_EDGES} WHERE input IN ('n1', 'n2')")
@@ -71,10 +78,14 @@ def gc_orphans(spark, sf_dir):
     return G.orphan_recipes(edges(spark, sf_dir), spark.createDataFrame([("n1",), ("n2",)], "addr string"))
 
 
-@query("repair_missing", "SELECT 'c' || c_custkey AS addr FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("repair_missing", f"SELECT 'o' || o_orderkey AS addr FROM orders WHERE o_orderkey NOT IN {_OPEN}")
 def repair_missing(spark, sf_dir):
-    e = edges(spark, sf_dir)
-    return G.missing_from(e.where("addr like 'c%'").select("addr"), e.select(F.col("input").alias("addr")))
+    return G.missing_from(edges(spark, sf_dir).where("addr like 'o%'").select("addr"), _open_orders(spark, sf_dir))
+
+
+@query("remove_nodes", f"SELECT addr, input FROM {_EDGES} WHERE addr NOT IN (SELECT 'o' || l_orderkey FROM {_OPEN}) AND input NOT IN (SELECT 'o' || l_orderkey FROM {_OPEN})")
+def remove_nodes(spark, sf_dir):
+    return G.remove_nodes(edges(spark, sf_dir), _open_orders(spark, sf_dir))
 
 
 @query("cache_eviction", """WITH e AS (SELECT p_partkey, p_size::BIGINT AS size, p_retailprice AS cpu, (p_partkey % 7)::INT AS hits FROM part),

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..layout import explode_chunks
+from ..staging import shared_dir
 from ..streaming import chunks as C
 from ..streaming import live
 from .common import digest, read
@@ -108,10 +109,15 @@ def _events(spark, sf_dir):
 
 
 def _finished(df, mode: str):
-    """All rows of a stream that has been read to its end; results here are aggregates of bounded size."""
+    """All rows of a stream that has been read to its end: appended rows are a table, complete results counts of bounded size."""
+    spark = df.sparkSession
     name = f"q_{uuid.uuid4().hex}"
+    if mode == "append":
+        path = f"{shared_dir(spark)}/heddle/{name}"
+        live.run_to_table(df, f"{path}/rows", f"{path}/checkpoint")
+        return spark.read.schema(df.schema).parquet(f"{path}/rows")
     df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return df.sparkSession.table(name)
+    return spark.table(name)
 
 
 def stream_window_counts(spark, sf_dir):

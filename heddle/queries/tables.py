@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from ..operators import aggregates as A
 from ..operators import lines as L
 from ..operators import relational as R
-from ..layout import explode_lines
-from ..plans.recipes import Store
+from ..layout import explode_chunks, explode_lines
+from ..plans.recipes import Store, Verification
+from ..streaming.chunks import whole
 from .common import LINES, read
 
 QUERIES: dict = {}
@@ -25,7 +26,7 @@ def query(name: str, sql: str | None):
 def flagship(spark, sf_dir):
     """Finished orders by market segment, as a chain of recipes."""
     s = Store(spark)
-    orders, customers = s.put_leaf(read(spark, sf_dir, "orders"), "orders"), s.put_leaf(read(spark, sf_dir, "customer"), "customer")
+    orders, customers = s.put_leaf(read(spark, sf_dir, "orders")), s.put_leaf(read(spark, sf_dir, "customer"))
     done = s.put_recipe("filter", [orders], {"column": "o_orderstatus", "op": "eq", "value": "F"})
     keyed = s.put_recipe("rename", [done], {"mapping": {"o_custkey": "c_custkey"}})
     joined = s.put_recipe("join", [keyed, customers], {"on": "c_custkey"})
@@ -34,6 +35,25 @@ def flagship(spark, sf_dir):
 
 QUERIES["recipe_flagship"] = (flagship, "SELECT c_mktsegment AS value, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F' GROUP BY 1")
 
+@query("recipe_functions", "SELECT doc_id AS key, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS content FROM documents")
+def recipe_functions(spark, sf_dir):
+    """Registered functions of blobs, named by recipes."""
+    s = Store(spark)
+    leaf = s.put_leaf(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.coalesce("text", F.lit("")).cast("binary").alias("content")))
+    lower = s.put_recipe("lowercase", [leaf])
+    return s.materialise(s.put_recipe("sha256", [lower])).select("key", F.lower(F.hex("content")).alias("content"))
+
+
+@query("recipe_streams", "SELECT doc_id, lower(hex(encode(translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')))) AS content FROM documents WHERE octet_length(encode(text)) > 0")
+def recipe_streams(spark, sf_dir):
+    """Stream functions over chunk tables, named by recipes, with sampled verification and a kept result."""
+    s = Store(spark)
+    chunks = explode_chunks(read(spark, sf_dir, "documents"), "doc_id", "text", 500).select(F.col("doc_id").alias("stream_id"), "chunk_idx", "content")
+    upper = s.put_recipe("streaming_uppercase", [s.put_leaf(chunks)])
+    out = s.materialise(upper, keep=True, verification=Verification.SAMPLED, rate=0.5)
+    return whole(out).select(F.col("stream_id").alias("doc_id"), F.lower(F.hex("content")).alias("content"))
+
+
 for _op, _column, _value, _sql in (
     ("eq", "o_orderstatus", "F", "o_orderstatus = 'F'"), ("ne", "o_orderstatus", "F", "o_orderstatus <> 'F'"), ("lt", "o_custkey", "5", "o_custkey::VARCHAR < '5'"), ("le", "o_custkey", "50", "o_custkey::VARCHAR <= '50'"),
     ("gt", "o_custkey", "7", "o_custkey::VARCHAR > '7'"), ("ge", "o_custkey", "70", "o_custkey::VARCHAR >= '70'"), ("contains", "o_orderpriority", "IG", "contains(o_orderpriority, 'IG')"),
@@ -67,11 +87,11 @@ def csv_column_rename(spark, sf_dir):
 
 for _how, _join in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("right", "RIGHT JOIN"), ("full", "FULL JOIN")):
     def _joined(spark, sf_dir, how=_how):
-        left = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), "c_mktsegment").where("k % 3 <> 0")
+        left = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), "c_mktsegment")
         right = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), "o_orderpriority").distinct()
         return R.join_tables(left, right, "k", how, fill="")
 
-    QUERIES[f"csv_join_{_how}"] = (_joined, f"SELECT coalesce(l.k, r.k) AS k, coalesce(c_mktsegment, '') AS c_mktsegment, coalesce(o_orderpriority, '') AS o_orderpriority FROM (SELECT c_custkey AS k, c_mktsegment FROM customer WHERE c_custkey % 3 <> 0) l {_join} (SELECT DISTINCT o_custkey AS k, o_orderpriority FROM orders) r ON l.k = r.k")
+    QUERIES[f"csv_join_{_how}"] = (_joined, f"SELECT coalesce(l.k, r.k) AS k, coalesce(c_mktsegment, '') AS c_mktsegment, coalesce(o_orderpriority, '') AS o_orderpriority FROM (SELECT c_custkey AS k, c_mktsegment FROM customer) l {_join} (SELECT DISTINCT o_custkey AS k, o_orderpriority FROM orders) r ON l.k = r.k")
 
 for _fn, _sql in (("count", "count(l_extendedprice)::DOUBLE"), ("sum", "sum(l_extendedprice)"), ("avg", "avg(l_extendedprice)"), ("min", "min(l_extendedprice)"), ("max", "max(l_extendedprice)")):
     def _aggregate(spark, sf_dir, fn=_fn):
@@ -125,12 +145,20 @@ def ndjson_project(spark, sf_dir):
     return R.ndjson_project(read(spark, sf_dir, "events"), "props", ["k", "x.y"], ["event_id"])
 
 
-@query("schema_infer", """SELECT * FROM (VALUES ('c_custkey', 'integer'), ('c_name', 'string'), ('c_nationkey', 'integer'), ('c_acctbal', 'float'), ('c_mktsegment', 'string')) v("column", type)""")
-def schema_infer(spark, sf_dir):
-    df = read(spark, sf_dir, "customer")
+_KIND = "CASE WHEN column_type IN ('BIGINT', 'INTEGER') THEN 'integer' WHEN column_type = 'DOUBLE' THEN 'float' ELSE 'string' END"
+
+
+def _inferred(spark, sf_dir, table):
+    """Types as the values of all rows, taken as strings, have them."""
+    df = read(spark, sf_dir, table)
     return R.infer_schema(df.select(*(F.col(c).cast("string").alias(c) for c in df.columns)))
 
 
+@query("schema_infer", f"""SELECT column_name AS "column", {_KIND} AS type FROM (DESCRIBE SELECT * FROM customer)""")
+def schema_infer(spark, sf_dir):
+    return _inferred(spark, sf_dir, "customer")
+
+
 @query("partition_manifest", "SELECT o_orderstatus AS value, count(*) AS num_rows FROM orders GROUP BY 1")
 def partition_manifest(spark, sf_dir):
     return R.partition_manifest(read(spark, sf_dir, "orders"), "o_orderstatus")
@@ -146,11 +174,13 @@ def columnar_to_row(spark, sf_dir):
     return R.columnar_to_row(read(spark, sf_dir, "region").select("r_regionkey", "r_name"))
 
 
-@query("schema_compare", "SELECT * FROM (VALUES ('b', 'removed'), ('c', 'changed'), ('d', 'added')) v(field, change)")
+_BARE = "SELECT substr(column_name, 3) AS c, {} AS t FROM (DESCRIBE SELECT * FROM {})"
+
+
+@query("schema_compare", f"SELECT coalesce(a.c, b.c) AS field, CASE WHEN b.c IS NULL THEN 'removed' WHEN a.c IS NULL THEN 'added' ELSE 'changed' END AS change FROM ({_BARE.format(_KIND, 'customer')}) a FULL JOIN ({_BARE.format(_KIND, 'part')}) b ON a.c = b.c WHERE a.t IS DISTINCT FROM b.t")
 def schema_compare(spark, sf_dir):
-    a = spark.createDataFrame([("a", "integer"), ("b", "string"), ("c", "float")], "column string, type string")
-    b = spark.createDataFrame([("a", "integer"), ("c", "string"), ("d", "string")], "column string, type string")
-    return R.compare_schemas(a, b)
+    bare = lambda table: _inferred(spark, sf_dir, table).select(F.expr("substr(column, 3)").alias("column"), "type")
+    return R.compare_schemas(bare("customer"), bare("part"))
 
 
 @query("frequency", "SELECT strftime(l_shipdate, '%Y-%m-%d') AS value, count(*) AS n FROM lineitem GROUP BY 1")
@@ -170,8 +200,8 @@ def histogram(spark, sf_dir):
 
 @query("percentile", "SELECT round(quantile_cont(l_extendedprice, 0.9), 4) AS p90, round(median(l_extendedprice), 4) AS p50 FROM lineitem")
 def percentile(spark, sf_dir):
-    c = F.col("l_extendedprice")
-    return read(spark, sf_dir, "lineitem").agg(F.round(A.percentile(c, 90), 4).alias("p90"), F.round(F.median(c), 4).alias("p50"))
+    p90, p50 = A.exact_percentiles(read(spark, sf_dir, "lineitem"), "l_extendedprice", [90, 50])
+    return spark.range(1).select(F.round(F.lit(p90), 4).alias("p90"), F.round(F.lit(p50), 4).alias("p50"))
 
 
 @query("table_cardinality", "SELECT count(DISTINCT l_partkey) AS n FROM lineitem")

@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +10,7 @@ from heddle import registry
 from heddle.operators import relational as R
 from heddle.params import InvalidParam
 from heddle.plans import lineage as G
-from heddle.plans.recipes import NotFound, Recipe, Store
+from heddle.plans.recipes import TABLE_FUNCTIONS, NotDeterministic, NotFound, Policy, Recipe, Store, Verification
 from heddle.sources import archives, files, logs
 from heddle.streaming import chunks as C
 from heddle.streaming import live
@@ -22,15 +23,93 @@ def test_addresses_depend_on_input_order_not_on_parameter_order():
 
 def test_store(spark):
     s = Store(spark)
-    leaf = s.put_leaf(spark.range(10).withColumn("v", F.col("id") % 3), "ten")
+    ten = spark.range(10).withColumn("v", F.col("id") % 3)
+    leaf = s.put_leaf(ten)
+    assert s.put_leaf(ten.orderBy(F.desc("id")).repartition(3)) == leaf != s.put_leaf(ten.withColumn("v", F.col("id") % 2))
     one = s.put_recipe("filter", [leaf], {"column": "v", "op": "eq", "value": "1"})
     two = s.put_recipe("frequency", [one], {"column": "v"})
     assert s.put_recipe("filter", [leaf], {"column": "v", "op": "eq", "value": "1"}) == one
     assert [r.n for r in s.materialise(two, keep=True).collect()] == [3]
+    assert [r.n for r in s.materialise(two).collect()] == [3] and s.status()["hit_rate"] == 0.5 and s.status()["cached_bytes"] > 0
     assert s.order(two) == [leaf, one, two] and s.status()["cached"] == 1
-    assert s.verify(two) and s.invalidate(leaf, dry_run=True) == [two] == s.invalidate(leaf)
+    assert s.verify(two) and s.invalidate(leaf, dry_run=True) == [two]
+    assert s.cascade(leaf, Policy.NONE) == [] and [(r["addr"], r["depth"]) for r in s.cascade(leaf)] == [(two, 2)] and s.invalidate(leaf) == []
     with pytest.raises(NotFound):
         s.put_recipe("filter", ["nowhere"], {})
+    with pytest.raises(NotFound):
+        s.materialise(s.put_recipe("nothing", [leaf]))
+    s.remove(two)
+    assert s.resolve(two) is None and s.resolve(one) is not None
+
+
+def test_store_survives_in_its_folder(spark, tmp_path):
+    root = f"file://{tmp_path}/store"
+    s = Store(spark, root)
+    blobs = spark.createDataFrame([(1, b"ab"), (2, b"c")], "key long, content binary")
+    leaf, other = s.put_leaf(blobs), s.put_leaf(spark.range(3))
+    upper = s.put_recipe("uppercase", [leaf])
+    joined = s.put_recipe("concat", [upper, leaf])
+    s.pin(other), s.pin(leaf), s.unpin(leaf)
+    again = Store(spark, root)
+    assert again.list_pins() == [other] and again.resolve(joined) == s.resolve(joined)
+    assert {r.key: bytes(r.content) for r in again.materialise(joined).collect()} == {1: b"ABab", 2: b"Cc"}
+    assert s.collect_garbage() == [] and s.unpin(other) and not s.unpin(other)
+    assert s.collect_garbage(dry_run=True) == [other] == s.collect_garbage() and Store(spark, root).leaf(other) is None
+
+
+def test_sampled_verification_goes_by_the_address(spark):
+    s = Store(spark)
+    leaf = s.put_leaf(spark.range(5))
+    chosen = [f"{i:02x}" + "0" * 62 for i in range(256)]
+    assert sum(s.sampled(a, 0.5) for a in chosen) == 128 and not any(s.sampled(a, 0.0) for a in chosen) and all(s.sampled(a, 1.0) for a in chosen)
+    TABLE_FUNCTIONS["noisy"] = lambda x, p: x[0].withColumn("r", F.rand())
+    try:
+        noisy = s.put_recipe("noisy", [leaf])
+        assert s.materialise(noisy).count() == 5
+        with pytest.raises(NotDeterministic):
+            s.materialise(noisy, verification=Verification.DUAL)
+    finally:
+        del TABLE_FUNCTIONS["noisy"]
+
+
+def test_eviction_spares_pins(spark):
+    s = Store(spark)
+    leaf = s.put_leaf(spark.range(2000))
+    kept = [s.put_recipe("filter", [leaf], {"column": "id", "op": "gt", "value": str(i)}) for i in range(4)]
+    for a in kept:
+        s.materialise(a, keep=True)
+    s.pin(kept[0])
+    lost = s.evict(1, 0.8, 0.6)
+    assert lost == sorted(kept[1:]) and set(s.cache) == {kept[0]} and s.evict(1 << 40) == []
+
+
+def test_eviction_order(spark):
+    rows = [(f"e{i}", 10, float((i * 37) % 50), i % 3, i % 7 == 0) for i in range(400)]
+    got = {r.addr for r in G.eviction(spark.createDataFrame(rows, "addr string, size long, cpu_ms double, hits int, pinned boolean"), 4000).collect()}
+    free, want = 4000, set()
+    for _, a in sorted((c * (h + 1) / n, a) for a, n, c, h, p in rows if not p):
+        if free <= 2400:
+            break
+        want.add(a)
+        free -= 10
+    assert got == want
+
+
+def test_joins_of_unmatched_rows(spark):
+    left = spark.createDataFrame([(1, "a"), (2, "b")], "k int, l string")
+    right = spark.createDataFrame([(2, "x"), (3, "y")], "k int, r string")
+    for how, want in (("inner", {(2, "b", "x")}), ("left", {(1, "a", ""), (2, "b", "x")}), ("right", {(2, "b", "x"), (3, "", "y")}), ("full", {(1, "a", ""), (2, "b", "x"), (3, "", "y")})):
+        assert {tuple(r) for r in R.join_tables(left, right, "k", how, fill="").select("k", "l", "r").collect()} == want
+
+
+def test_exact_percentiles(spark, monkeypatch):
+    from heddle.operators import aggregates as A
+
+    monkeypatch.setattr(A, "FEW", 50)
+    values = [float(i % 97) ** 3 for i in range(5000)] + [1e12] * 3
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+    assert A.exact_percentiles(df, "v", [0, 25, 50, 99, 100]) == pytest.approx(list(np.percentile(values, [0, 25, 50, 99, 100])))
+    assert A.exact_percentiles(df.where("v is null"), "v", [50]) == [None]
 
 
 def test_lineage(spark):
@@ -67,7 +146,7 @@ def test_sources(spark, tmp_path):
     assert files.read_orc(spark, str(tmp_path / "o")).count() == files.read_ndjson(spark, str(tmp_path / "n")).count() == 2
     (tmp_path / "f.fa").write_text(">s1 d\nAC\nGT\n>s2\nTT\n")
     assert {tuple(r) for r in files.read_fasta(spark, str(tmp_path / "f.fa")).collect()} == {("s1", "ACGT", 4), ("s2", "TT", 2)}
-    line = spark.createDataFrame([("<34>Jan 15 10:30:00 myhost su: x",), ("junk",)], "line string")
+    line = spark.createDataFrame([("<34>Mar  3 04:05:06 loom7 shuttle: thread broke",), ("junk",)], "line string")
     assert [r.facility for r in logs.syslog(line, fmt="rfc3164").orderBy("line").collect()] == [4, None]
     packed = registry.get("zip_create").plain([b"1", b"22"], __import__("heddle.params", fromlist=["Params"]).Params(files="a,b"))
     got = archives.members(spark.createDataFrame([("z", packed)], "path string, content binary")).collect()
