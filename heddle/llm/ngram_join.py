@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as T
-from .common import bit_filter, components, stage, unstage
+from .common import bit_filter, components, release, stage, unstage
 
 FRAGMENTS = 8  # of the verification
 CELLS = 256  # of the bound
@@ -295,6 +295,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
         edges = edges.union(check(family_pairs(member, sets, percent)))
         comp = stage(components(edges), "components")
     unstage(member)
+    unstage(links, sets)
+    release(docs.sparkSession)
     # An id with several texts is in the classes of all of them, which it ties together.
     of = stage(full.select("doc", "digest").join(classes, "digest").select("doc", "rep"), "classes-of")
     tied = of.groupBy("doc").agg(F.min("rep").alias("b"), F.max("rep").alias("hi")).where("b <> hi").select("doc", "b")

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -132,8 +133,8 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).where("_text is not null")
     # At most MAX_POSITIVE + MAX_UNLABELLED ids: a bounded broadcast.
     found = texts.join(F.broadcast(sample), "_id").groupBy("_id", "_p").agg(F.min("_text").alias("_text"))
-    rows = found.select("_p", "_text").mapInArrow(run, "_p int, words binary").collect()
-    sets = [sorted((np.frombuffer(r["words"], np.uint64) for r in rows if r["_p"] == p), key=lambda x: x.tobytes()) for p in (1, 0)]
+    rows = found.select("_p", "_text").mapInArrow(run, "_p int, words binary").toArrow()
+    sets = [[np.frombuffer(w, np.uint64) for w in sorted(rows.filter(pc.equal(rows["_p"], p))["words"].to_pylist())] for p in (1, 0)]
     return fit(sets[0], sets[1], count["p"] / count["n"])
 
 
