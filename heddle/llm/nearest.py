@@ -1,10 +1,11 @@
 """Nearest neighbours by a block matrix join.
 
-Queries are dealt to rows, candidates to columns of a grid by a hash of vec_id and place; each tile multiplies a block of at most
+Queries are dealt to rows, candidates to columns of a grid by a hash of their place in the input; each tile multiplies a block of at most
 about QUERY_BLOCK queries with one of about CANDIDATE_BLOCK candidates.  Unit vectors are quantised to int8; the integer
 products (exact in float arithmetic) give each cosine with an error bound from the lengths of the quantisation errors.
-Pairs whose upper bound reaches the k-th largest lower bound survive and are recomputed in double precision on the
-original vectors; k of each tile and query are merged by heaps.  The bounds hold, so the result is exact (recall 1).
+Tiles get codes only.  Pairs whose upper bound reaches the k-th largest lower bound, first of their tile, then of all tiles, survive,
+are joined to the original vectors and recomputed in double precision; heaps merge them.  The bounds hold, so the
+result is exact (recall 1).
 
 Edge cases: vectors null, empty, zero, or holding null or non-finite components take no part, nor do null ids.  Vectors
 of another length than the query's are no candidates.  Rows that repeat a vec_id are each a candidate (and a query, their
@@ -18,10 +19,11 @@ import heapq
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, stage
+from .common import bit_filter, read, stage, unstage
 
 QUERY_BLOCK = 1024
 CANDIDATE_BLOCK = 16384
@@ -48,66 +50,86 @@ def _scaled(x: np.ndarray) -> np.ndarray:
 
 
 def cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Double cosines of one vector with the rows of x, summed in component order; extreme vectors are scaled by powers of two."""
-    q, x = _scaled(q[None, :])[0], _scaled(x)
-    dot = nq = 0.0
-    nx = np.zeros(len(x))
-    for d in range(len(q)):
-        dot = dot + x[:, d] * q[d]
-        nq = nq + q[d] * q[d]
-        nx = nx + x[:, d] * x[:, d]
+    """Double cosines of the rows of q with those of x, summed in component order; extreme vectors are scaled by powers of two."""
+    q, x = _scaled(q), _scaled(x)
+    dot, nq, nx = np.zeros(len(x)), np.zeros(len(x)), np.zeros(len(x))
+    for d in range(x.shape[1]):
+        dot += x[:, d] * q[:, d]
+        nq += q[:, d] * q[:, d]
+        nx += x[:, d] * x[:, d]
     return np.clip(dot / np.sqrt(nx * nq), -1, 1)
 
 
-def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    return np.lexsort((ids, -scores))[:k]
-
-
-def _tile(queries: list[tuple], block: tuple, k: int) -> list[tuple]:
-    """(query id, candidate ids, scores) of a tile; each side: ids, codes, steps, errors, original vectors."""
-    ids, code, step, err, raw = block
-    out = []
+def _tile(query: tuple, block: tuple, k: int) -> list[tuple]:
+    """(query row, candidate rows, lower bounds, upper bounds) of a tile; each side: ids, rows, codes, steps, errors."""
+    qid, qrow, qcode, qstep, qerr = query
+    ids, rows, code, step, err = block
+    if qcode.shape[1] != code.shape[1]:
+        return []
     wide = np.float32 if code.shape[1] * 127 * 127 < 2**24 else np.float64
-    for qid, qcode, qstep, qerr, qraw in queries:
-        if qraw.shape[1] != raw.shape[1]:
-            continue
-        # |q.v - q'.v'| <= |q'||v - v'| + |q - q'||v|, with |v| = 1 and |q'| <= 1 + |q - q'|; a little for rounding
-        dots = (qcode.astype(wide) @ code.T.astype(wide)).astype(np.float64) * qstep[:, None] * step[None, :]
-        slack = (1 + qerr)[:, None] * err[None, :] + qerr[:, None] + 1e-9
-        dots[qid[:, None] == ids[None, :]] = -np.inf
-        low = dots - slack
-        cut = np.partition(low, len(ids) - k, 1)[:, len(ids) - k] if len(ids) > k else np.full(len(qid), -np.inf)
-        for i, q in enumerate(qid):
-            near = np.flatnonzero((dots[i] + slack[i] >= cut[i]) & (dots[i] > -np.inf))
-            if len(near):
-                score = cosines(qraw[i], raw[near])
-                top = _best(ids[near], score, k)
-                out.append((int(q), ids[near][top].tolist(), score[top].tolist()))
+    # |q.v - q'.v'| <= |q'||v - v'| + |q - q'||v|, with |v| = 1 and |q'| <= 1 + |q - q'|; a little for rounding
+    dots = (qcode.astype(wide) @ code.T.astype(wide)).astype(np.float64) * qstep[:, None] * step[None, :]
+    slack = (1 + qerr)[:, None] * err[None, :] + qerr[:, None] + 1e-9
+    dots[qid[:, None] == ids[None, :]] = -np.inf
+    low = dots - slack
+    cut = np.partition(low, len(ids) - k, 1)[:, len(ids) - k] if len(ids) > k else np.full(len(qid), -np.inf)
+    out = []
+    for i, q in enumerate(qrow):
+        near = np.flatnonzero((dots[i] + slack[i] >= cut[i]) & (dots[i] > -np.inf))
+        if len(near):
+            out.append((int(q), rows[near].tolist(), low[i][near].tolist(), (dots[i] + slack[i])[near].tolist()))
     return out
 
 
-_BLOCK = "side int, r int, c int, dim int, ids binary, code binary, step binary, err binary, raw binary"
+_BLOCK = "side int, r int, c int, dim int, ids binary, rows binary, code binary, step binary, err binary"
 
 
 def _pack(side: int):
     """One row per grid row or column and dimension: its vectors, quantised, as packed arrays."""
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
+        out = []
         for dim, part in pdf.groupby("dim"):
             raw = np.array(part["v"].tolist(), np.float64)
-            order = np.lexsort((*raw.T[::-1], part["id"].to_numpy()))
-            ids, raw = part["id"].to_numpy()[order], raw[order]
             unit = raw / np.abs(raw).max(1)[:, None]
             code, step, err = quantise(unit / np.sqrt((unit**2).sum(1))[:, None])
-            rows.append((side, int(key[0]), int(key[0]), int(dim), *(a.tobytes() for a in (ids, code, step, err, raw))))
-        return pd.DataFrame(rows, columns=[x.split()[0] for x in _BLOCK.split(", ")])
+            ids, rows = part["id"].to_numpy(np.int64), part["row"].to_numpy(np.int64)
+            out.append((side, int(key[0]), int(key[0]), int(dim), *(a.tobytes() for a in (ids, rows, code, step, err))))
+        return pd.DataFrame(out, columns=[x.split()[0] for x in _BLOCK.split(", ")])
+
+    return run
+
+
+def _survivors(k: int):
+    """Of the pairs of all tiles, by query those whose upper bound reaches the k-th largest lower bound."""
+    def run(batches):
+        found: dict[int, list] = {}
+        for batch in batches:
+            for q, *parts in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                found.setdefault(q, []).append([np.array(x) for x in parts])
+        qs, rows = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for q, parts in found.items():
+            row, low, high = (np.concatenate(x) for x in zip(*parts, strict=True))
+            cut = np.partition(low, len(low) - k)[len(low) - k] if len(low) > k else -np.inf
+            rows.append(row[high >= cut].astype(np.int64))
+            qs.append(np.full(len(rows[-1]), q))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(qs)), pa.array(np.concatenate(rows))], ["qrow", "row"])
 
     return run
 
 
-def _unpack(row, dim: int) -> tuple:
-    ids = np.frombuffer(row.ids, np.int64)
-    return ids, np.frombuffer(row.code, np.int8).reshape(-1, dim), np.frombuffer(row.step), np.frombuffer(row.err), np.frombuffer(row.raw).reshape(-1, dim)
+def _measured(batches):
+    """(query_id, vec_id, score) of rows (query_id, qv, vec_id, v)."""
+    for batch in batches:
+        size = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
+        for dim in np.unique(size):
+            part = batch.filter(pa.array(size == dim))
+            q, x = (part.column(i).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim) for i in (1, 3))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(cosines(q, x))], ["query_id", "vec_id", "score"])
+
+
+def _unpack(row) -> tuple:
+    ids, rows = np.frombuffer(row.ids, np.int64), np.frombuffer(row.rows, np.int64)
+    return ids, rows, np.frombuffer(row.code, np.int8).reshape(-1, row.dim), np.frombuffer(row.step), np.frombuffer(row.err)
 
 
 def nearest(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -115,11 +137,11 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", ve
     v = F.col(vec_col).cast("array<double>")
     clean = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v"), is_query.alias("q")).where(
         "id is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('inf')) and exists(v, x -> x <> 0)")
-    clean = clean.withColumn("dim", F.size("v"))
+    # A row is known by its place in the written table's input, as ids may repeat.
+    clean = stage(clean.withColumn("dim", F.size("v")).withColumn("row", F.monotonically_increasing_id()), "vectors")
     n = clean.agg(F.count("*").alias("n"), F.count_if("q").alias("q")).first()
     rows, cols = max(1, -(-n["q"] // QUERY_BLOCK)), max(1, -(-n["n"] // CANDIDATE_BLOCK))
-    # By id and place in the input: rows of one id spread over the blocks.
-    slot = lambda m: F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(m)).cast("int")
+    slot = lambda m: F.pmod(F.xxhash64("row"), F.lit(m)).cast("int")
     query = clean.where("q").withColumn("slot", slot(rows)).groupBy("slot").applyInPandas(_pack(0), _BLOCK)
     cand = clean.withColumn("slot", slot(cols)).groupBy("slot").applyInPandas(_pack(1), _BLOCK)
     blocks = stage(query.unionByName(cand), "blocks")
@@ -127,27 +149,33 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", ve
     right = blocks.where("side = 1").withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
 
     def tile(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        sides = [[(_unpack(x, x.dim)) for x in pdf[pdf.side == s].itertuples()] for s in (0, 1)]
+        queries, cands = ([_unpack(x) for x in pdf[pdf.side == s].itertuples()] for s in (0, 1))
         found = []
-        for ids, *parts in sides[1]:
-            for at in range(0, len(ids), LANES):
-                found += _tile([(q[0][i : i + 256], *(a[i : i + 256] for a in q[1:])) for q in sides[0] for i in range(0, len(q[0]), 256)], (ids[at : at + LANES], *(a[at : at + LANES] for a in parts)), k)
-        return pd.DataFrame(found, columns=["query_id", "ids", "scores"])
-
-    tiles = left.unionByName(right).groupBy("r", "c").applyInPandas(tile, "query_id long, ids array<long>, scores array<double>")
+        for block in cands:
+            for at in range(0, len(block[0]), LANES):
+                part = tuple(a[at : at + LANES] for a in block)
+                found += [r for q in queries for i in range(0, len(q[0]), 256) for r in _tile(tuple(a[i : i + 256] for a in q), part, k)]
+        return pd.DataFrame(found, columns=["qrow", "rows", "low", "high"])
+
+    tiles = left.unionByName(right).groupBy("r", "c").applyInPandas(tile, "qrow long, rows array<long>, low array<double>, high array<double>")
+    pairs = stage(tiles.repartition("qrow").mapInArrow(_survivors(k), "qrow long, row long"), "survivors")
+    unstage(blocks)
+    queries = clean.where("q").select(F.col("row").alias("qrow"), F.col("id").alias("query_id"), F.col("v").alias("qv"))
+    originals = bit_filter(clean.select("row", F.col("id").alias("vec_id"), "v"), "row", pairs, "row")
+    both = pairs.join(originals, "row").join(queries, "qrow").select("query_id", "qv", "vec_id", "v")
 
     def merge(batches):
         heaps: dict[int, list] = {}
         for batch in batches:
-            for q, ids, scores in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for q, i, s in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
                 heap = heaps.setdefault(q, [])
-                for i, s in zip(ids, scores, strict=True):
-                    heapq.heappush(heap, (s, -i)) if len(heap) < k else heapq.heappushpop(heap, (s, -i))
+                heapq.heappush(heap, (s, -i)) if len(heap) < k else heapq.heappushpop(heap, (s, -i))
         flat = [(q, rank, -i, s) for q, heap in heaps.items() for rank, (s, i) in enumerate(sorted(heap, reverse=True), 1)]
         cols = list(zip(*flat, strict=True)) or [[], [], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.float64()), strict=True)], ["query_id", "rank", "vec_id", "score"])
 
-    return tiles.repartition("query_id").mapInArrow(merge, "query_id long, rank int, vec_id long, score double")
+    scored = both.mapInArrow(_measured, "query_id long, vec_id long, score double")
+    return scored.repartition("query_id").mapInArrow(merge, "query_id long, rank int, vec_id long, score double")
 
 
 def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
