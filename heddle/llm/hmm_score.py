@@ -8,7 +8,7 @@ of RARE symbols by its hash.  The end token is a symbol too.  Given its symbol a
     P(symbols of the text by the HMM) * product of P(word | rare symbol).
 
 Frequent words are looked up in a broadcast table of fixed size; counts of the rest come by an equi-join on word hash.
-Each EM iteration sums expected counts per task and merges them in a tree of at most MERGE tasks; counts are smoothed.
+Each EM iteration sums expected counts per task and merges them in a tree, MERGE of them in a task; counts are smoothed.
 
 Edge cases: null and empty texts consist of the end token; a null doc_id is a training row and not held out; an empty
 table gives no rows; without training tokens counts are 0 and every base probability is 1 (N = V = 0); rows repeating a
@@ -203,7 +203,12 @@ def train(encoded: DataFrame, symbols: int, unigram: np.ndarray, iterations: int
             if total is not None:
                 yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["c"])
 
-        parts = encoded.select("seq").mapInArrow(count, "c binary").repartition(MERGE).mapInArrow(merge, "c binary").collect()
+        sums = encoded.select("seq").mapInArrow(count, "c binary")
+        width = sums._jdf.queryExecution().toRdd().getNumPartitions()
+        while width > MERGE:
+            width = -(-width // MERGE)
+            sums = sums.repartition(width).mapInArrow(merge, "c binary")
+        parts = sums.collect()
         if parts:
             model = Hmm.from_counts(np.sum([np.frombuffer(r["c"]) for r in parts], axis=0), states, symbols)
         shared.unpersist()
