@@ -58,8 +58,10 @@ _stream("streaming_utf8_validate", "t")
 _stream("streaming_size_limit", "t", max_bytes=10**9)
 _stream("streaming_non_empty", "t")
 _stream("streaming_content_type", "'Content-Type: text/plain' || chr(10) || t")
-_stream("streaming_redact", r"regexp_replace(regexp_replace(regexp_replace(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[REDACTED]', 'g'), '\b[0-9]{3}[-.]?[0-9]{3}[-.]?[0-9]{4}\b', '[REDACTED]', 'g'), '\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b', '[REDACTED]', 'g')",
-        patterns=[r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", r"\b[0-9]{3}[-.]?[0-9]{3}[-.]?[0-9]{4}\b", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b"])
+_redacted = "t"
+for _rx in C.REDACT:
+    _redacted = f"regexp_replace({_redacted}, '{_rx}', '[REDACTED]', 'g')"
+_stream("streaming_redact", _redacted)
 
 
 def _skip(spark, sf_dir):

@@ -251,11 +251,18 @@ def chunk_predicate(rule: str) -> Column:
     return F.lit(True)
 
 
-@streaming("streaming_filter", "streaming_partition")
+@streaming("streaming_filter")
 def _filter(x, p):
     return x[0].where(chunk_predicate(p.text("predicate", "")))
 
 
+@streaming("streaming_partition")
+def _partition(x, p):
+    """Of the two streams that a predicate parts a stream into, the one that ``side`` names."""
+    rule = chunk_predicate(p.text("predicate", ""))
+    return x[0].where(rule if p.choice("side", ("matching", "other"), "matching") == "matching" else ~rule)
+
+
 @streaming("streaming_sample")
 def _sample(x, p):
     return x[0].withColumn("_n", F.row_number().over(_order()) - 1).where(F.col("_n") % p.int("rate", 10, low=1) == 0).drop("_n")
@@ -420,7 +427,7 @@ def _truncate_lines(x, p):
 
 
 # What is redacted by default (e-mail, phone, US social security number).
-REDACT = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", r"\b\d{3}[-.]?\d{3}[-.]?\d{4}\b", r"\b\d{3}-\d{2}-\d{4}\b")
+REDACT = (r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b", r"\b\d{3}[-.]?\d{3}[-.]?\d{4}\b", r"\b\d{3}-\d{2}-\d{4}\b")
 
 
 @streaming("streaming_redact")
