@@ -3,7 +3,7 @@
 from importlib import import_module
 
 MODULES = ("encodings", "hashing", "text", "slicing", "analytics", "checks", "compression", "addressing", "json_formats", "config", "detect",
-           "logs", "archives", "database", "network", "bio", "geo", "documents", "science", "ml", "image", "audio", "binary", "columnar", "serialization", "ipld", "erasure", "ciphers")
+           "logs", "archives", "database", "network", "bio", "geo", "documents", "pdf", "science", "ml", "image", "gif", "audio", "binary", "columnar", "serialization", "ipld", "erasure", "ciphers")
 
 
 def load() -> None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import json
+import struct
 import wave
 
 import numpy as np
@@ -113,4 +114,43 @@ def media_detect_format(x, p):
     return dumps({"format": kind})
 
 
-unsupported("video_metadata", "video_thumbnail", "video_extract_audio", "video_strip_audio", "video_resolution", "subtitle_extract", why="video is not decoded")
+def boxes(d: bytes, at: int = 0, end: int | None = None):
+    """(kind, start of the body, end) of the boxes of an ISO media file."""
+    end = len(d) if end is None else end
+    while at + 8 <= end:
+        size, kind = int.from_bytes(d[at : at + 4], "big"), d[at + 4 : at + 8]
+        head = 16 if size == 1 else 8
+        size = int.from_bytes(d[at + 8 : at + 16], "big") if size == 1 else size or end - at
+        if size < head or at + size > end:
+            return
+        yield kind, at + head, at + size
+        at += size
+
+
+def _box(d: bytes, path: tuple[bytes, ...], at: int, end: int) -> tuple[int, int] | None:
+    for kind, a, b in boxes(d, at, end):
+        if kind == path[0]:
+            return (a, b) if len(path) == 1 else _box(d, path[1:], a, b)
+    return None
+
+
+@python("video_metadata", returns="string")
+def video_metadata(x, p):
+    """Tracks of an ISO media file (MP4, MOV): number, sample format, and rate and channels of sound."""
+    d, tracks = x[0], []
+    movie = _box(d, (b"moov",), 0, len(d))
+    if movie is None:
+        raise ValueError("no ISO media file")
+    for kind, a, b in boxes(d, *movie):
+        if kind != b"trak":
+            continue
+        head, entry = _box(d, (b"tkhd",), a, b), _box(d, (b"mdia", b"minf", b"stbl", b"stsd"), a, b)
+        number = int.from_bytes(d[head[0] + (20 if d[head[0]] else 12) :][:4], "big") if head else None
+        first = next(boxes(d, entry[0] + 8, entry[1]), None) if entry else None
+        sound = first is not None and _box(d, (b"mdia", b"minf", b"smhd"), a, b) is not None
+        channels, rate = struct.unpack_from(">H6xI", d, first[1] + 16) if sound else (None, None)
+        tracks.append({"id": number, "codec": first[0].decode("latin-1") if first else None, "sample_rate": rate >> 16 if sound else None, "channels": channels})
+    return json.dumps({"tracks": tracks, "track_count": len(tracks)}, indent=2)
+
+
+unsupported("video_thumbnail", "video_extract_audio", "video_strip_audio", "video_resolution", "subtitle_extract", why="video is not decoded")

@@ -243,22 +243,3 @@ def epub_metadata(x, p):
         opf = next((z.read(n).decode() for n in z.namelist() if n.endswith(".opf")), "")
         chapters = sum(n.lower().endswith((".xhtml", ".html", ".htm")) for n in z.namelist())
     return dumps({k: _tag(opf, k) for k in ("title", "creator", "language")} | {"chapters": chapters})
-
-
-@python("pdf_page_count", returns="string")
-def pdf_page_count(x, p):
-    """Counts page objects; pages inside compressed object streams are inflated first."""
-    import zlib
-
-    if not x[0].startswith(b"%PDF"):
-        raise ValueError("no PDF")
-    body = x[0]
-    for m in re.finditer(rb"stream\r?\n(.*?)\r?\nendstream", x[0], re.S):
-        try:
-            body += zlib.decompress(m[1])
-        except zlib.error:
-            continue
-    return dumps({"pages": len(re.findall(rb"/Type\s*/Page(?![a-zA-Z])", body))})
-
-
-unsupported("pdf_metadata", "pdf_extract_text", "pdf_extract_images", "pdf_merge", "pdf_split", "pdf_to_text", why="there is no PDF codec here")

@@ -225,4 +225,4 @@ def svg_minify(x, p):
     return re.sub(r">\s+<", "><", re.sub(r"<!--.*?-->", "", x[0].decode(), flags=re.S)).strip()
 
 
-unsupported("jpeg_optimize", "svg_to_png", "tiff_split", "tiff_merge", "gif_extract_frames", why="there is no codec for this format here")
+unsupported("jpeg_optimize", "svg_to_png", "tiff_split", "tiff_merge", why="there is no codec for this format here")

@@ -307,3 +307,68 @@ def test_native_functions(spark):
         ok = {want, want.hex() if isinstance(want, bytes) else str(want), want.decode("latin-1") if isinstance(want, bytes) else want}
         ok |= {struct.pack(">Q", want), str(want).encode()} if isinstance(want, int) else {int.from_bytes(want, "big")}
         assert shown in ok, (name, shown)
+
+
+def pdf_of(*texts, info=b"", font=b"<</Type/Font/Subtype/Type1/BaseFont/Helvetica>>", more=()):
+    """A file of one page for each content stream, objects written out by hand."""
+    n = len(texts)
+    objects = [b"<</Type/Catalog/Pages 2 0 R>>", b"<</Type/Pages/Kids[" + b" ".join(b"%d 0 R" % (5 + 2 * i) for i in range(n)) + b"]/Count %d/Resources<</Font<</F1 3 0 R>>/XObject<</Im0 4 0 R>>>>>>" % n, font, b"<<" + info + b">>"]
+    for i, t in enumerate(texts):
+        packed = zlib.compress(t)
+        objects += [b"<</Type/Page/Parent 2 0 R/MediaBox[0 0 200 200]/Contents %d 0 R>>" % (6 + 2 * i), b"<</Length %d/Filter/FlateDecode>>\nstream\n" % len(packed) + packed + b"\nendstream"]
+    objects += more
+    return b"%PDF-1.4\n% c\n" + b"".join(b"%d 0 obj\n" % i + o + b"\nendobj\n" for i, o in enumerate(objects, 1)) + b"trailer\n<</Root 1 0 R/Info 4 0 R>>\n%%EOF\n"
+
+
+def test_pdf():
+    one = pdf_of(b"BT /F1 12 Tf 10 20 Td (two \\(2\\) skeins) Tj 0 -14 Td [(of) -300 (och) 20 (re)] TJ ET", b"BT /F1 9 Tf (second \\351t\\351) Tj ET", info=b"/Title(Dyes)/Author<FEFF0057>")
+    two = pdf_of(b"BT /F1 9 Tf (third) Tj ET")
+    assert js("pdf_page_count", one) == {"pages": 2} and js("pdf_metadata", one) == {"pages": 2, "title": "Dyes", "author": "W"}
+    assert run("pdf_to_text", one) == "two (2) skeins\nof ochre\nsecond été\n" and run("pdf_extract_text", one, pages="2-9") == "second été\n"
+    assert js("pdf_extract_images", one) == {"images": [{"page": 1, "name": "Im0"}, {"page": 2, "name": "Im0"}]}
+    both = run("pdf_merge", one, two)
+    assert run("pdf_to_text", both) == run("pdf_to_text", one) + "third\n" and run("pdf_merge", two) == two
+    assert run("pdf_to_text", run("pdf_split", both, pages="1,3")) == "two (2) skeins\nof ochre\nthird\n"
+    # The table of a file written here leads to its objects.
+    at = int(both.rsplit(b"startxref\n", 1)[1].split()[0])
+    rows = both[at:].split(b"trailer")[0].splitlines()[3:]
+    assert all(both[int(r[:10]) :].startswith(b"%d 0 obj" % i) for i, r in enumerate(rows, 1))
+    cmap = b"1 begincodespacerange <0000> <ffff> endcodespacerange 1 beginbfchar <0001> <0077> endbfchar 1 beginbfrange <0002> <0003> <0061> endbfrange"
+    font = b"<</Type/Font/ToUnicode 7 0 R>>"
+    assert run("pdf_to_text", pdf_of(b"BT /F1 9 Tf <000100020003> Tj ET", font=font, more=[b"<</Length %d>>\nstream\n" % len(cmap) + cmap + b"\nendstream"])) == "wab\n"
+    # Objects inside an object stream.
+    inner = b"1 0 2 34 " + b"<</Type/Catalog/Pages 2 0 R>>     " + b"<</Type/Pages/Kids[5 0 R]/Count 1>>"
+    held = b"%%PDF-1.5\n5 0 obj\n<</Type/Page/Parent 2 0 R>>\nendobj\n9 0 obj\n<</Type/ObjStm/N 2/First 9/Length %d>>\nstream\n" % len(inner) + inner + b"\nendstream\nendobj\ntrailer <</Root 1 0 R>>"
+    assert js("pdf_page_count", held) == {"pages": 1}
+    for bad in (b"no", pdf_of(b"").replace(b"/Root", b"/Encrypt 9 0 R/Root")):
+        with pytest.raises(ValueError):
+            run("pdf_page_count", bad)
+
+
+def test_gif():
+    palette = bytes((255, 0, 0, 0, 255, 0, 0, 0, 255, 9, 9, 9))
+    # Codes of three bits: clear 4, then 1 1 2 3 as they are, stop 5; written from the lowest bit.
+    bits = "".join(f"{c:03b}"[::-1] for c in (4, 1, 1)) + "".join(f"{c:03b}"[::-1] for c in (2,)) + f"{3:04b}"[::-1] + f"{5:04b}"[::-1]
+    code = bytes(int(bits[i : i + 8][::-1], 2) for i in range(0, len(bits), 8))
+    block = bytes([2, len(code)]) + code + b"\0"
+    one = b"\x2c" + struct.pack("<HHHHB", 0, 0, 2, 2, 0) + block
+    clear = b"\x21\xf9\x04\x01\0\0\x01\0"  # colour 1 is clear in the next frame
+    d = b"GIF89a" + struct.pack("<HHBBB", 2, 2, 0x81, 0, 0) + palette + one + clear + one + b"\x3b"
+    got = js("gif_extract_frames", d)["frames"]
+    px = [image.decode_png(base64.b64decode(f["data_base64"])) for f in got]
+    assert [f["frame"] for f in got] == [0, 1] and px[0][..., :3].tolist() == [[[0, 255, 0], [0, 255, 0]], [[0, 0, 255], [9, 9, 9]]]
+    assert (px[1] == px[0]).all()  # what is clear shows the frame before
+    with pytest.raises(ValueError):
+        run("gif_extract_frames", b"GIF")
+
+
+def test_video_metadata():
+    box = lambda kind, *parts: struct.pack(">I", 8 + sum(map(len, parts))) + kind + b"".join(parts)
+    head = lambda n: box(b"tkhd", bytes(12), struct.pack(">I", n), bytes(60))
+    table = lambda entry: box(b"stsd", struct.pack(">II", 0, 1), entry)
+    sound = box(b"mp4a", bytes(16), struct.pack(">HHHHI", 2, 16, 0, 0, 44100 << 16))
+    tracks = [box(b"trak", head(1), box(b"mdia", box(b"minf", box(b"vmhd"), box(b"stbl", table(box(b"avc1", bytes(70))))))), box(b"trak", head(2), box(b"mdia", box(b"minf", box(b"smhd"), box(b"stbl", table(sound)))))]
+    got = js("video_metadata", box(b"ftyp", b"isom") + box(b"moov", box(b"mvhd", bytes(20)), *tracks))
+    assert got == {"tracks": [{"id": 1, "codec": "avc1", "sample_rate": None, "channels": None}, {"id": 2, "codec": "mp4a", "sample_rate": 44100, "channels": 2}], "track_count": 2}
+    with pytest.raises(ValueError):
+        run("video_metadata", b"nothing")
