@@ -182,6 +182,7 @@ def occurrences(h: np.ndarray, bounds: np.ndarray, phrases: Phrases) -> tuple[np
     return place[index.locate(rows)], which
 
 
+ADDED = ("n_words", "n_hit", "items", "spans")
 SCHEMA = "n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
 _SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
@@ -236,7 +237,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text")
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
         return df.withColumn("_text", F.col(text_col).cast("string")).mapInArrow(run, f"{fields}, {SCHEMA}")
 
-    docs = docs.drop("n_words", "n_hit", "items", "spans")
+    docs = docs.drop(*ADDED)
     sc = docs.sparkSession.sparkContext
     n, blocks = phrase_blocks(benchmark)
     if n == 1:
@@ -289,9 +290,10 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str =
             cols = [pa.array(texts, pa.string()) if any(spans) and i == k else c for i, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays(cols, batch.schema.names).select(names)
 
-    names = docs.columns
-    found = contamination(docs, benchmark, text_col).where("n_hit = 0 or n_hit < n_words")
-    return found.mapInArrow(run, docs.schema)
+    # Columns of docs may have the names of those that the search adds.
+    names = [f"_kept_{c}" if c in ADDED else c for c in docs.columns]
+    found = contamination(docs.toDF(*names), benchmark, text_col).where("n_hit = 0 or n_hit < n_words")
+    return found.mapInArrow(run, docs.toDF(*names).schema).toDF(*docs.columns)
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -266,8 +266,8 @@ def family_pairs(member: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return small.union(big.withColumnRenamed("node", "a").join(other, "key").where("root < root_b").select("a", "b"))
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included)."""
+def linked(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(signatures; (doc, node, rep) of rows with words and an id; links (a, b) of class representatives; their components)."""
     sigs = stage(signatures(docs, n, percent, id_col, text_col), "signatures")
     full = sigs.where("doc is not null and n_shingles > 0")
     classes = stage(full.groupBy("digest").agg(F.min("node").alias("rep")), "classes")
@@ -297,8 +297,15 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     unstage(member)
     unstage(links, sets)
     release(docs.sparkSession)
+    of = stage(full.select("doc", "node", "digest").join(classes, "digest").select("doc", "node", "rep"), "classes-of")
+    unstage(classes)
+    return sigs, of, edges, comp
+
+
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included)."""
+    sigs, of, edges, comp = linked(docs, n, percent, id_col, text_col)
     # An id with several texts is in the classes of all of them, which it ties together.
-    of = stage(full.select("doc", "digest").join(classes, "digest").select("doc", "rep"), "classes-of")
     tied = of.groupBy("doc").agg(F.min("rep").alias("b"), F.max("rep").alias("hi")).where("b <> hi").select("doc", "b")
     tied = stage(of.join(tied, "doc").where("rep <> b").select(F.col("rep").alias("a"), "b").distinct(), "tied")
     if not tied.isEmpty():
@@ -312,6 +319,25 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     )
 
 
+def drop_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each group of linked rows one, that of the smallest id (then of the smallest row hash); of rows with equal id and text one.
+
+    Rows go one by one: a row whose id has a copy elsewhere under another text stays.  Rows without words or id link nothing.
+    """
+    sigs, of, _, comp = linked(docs, n, percent, id_col, text_col)
+    of = of.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("doc", "node", F.coalesce("root", "rep").alias("root"))
+    first = of.groupBy("root").agg(F.min(F.struct("doc", "node")).alias("first"))
+    lost = of.join(first, "root").where("node <> first.node").select("node").distinct()
+    again = sigs.groupBy("node").count().where("count > 1").select("node")
+    touched = stage(lost.withColumn("lost", F.lit(True)).unionByName(again.withColumn("lost", F.lit(False))).groupBy("node").agg(F.max("lost").alias("lost")), "touched")
+    keyed = docs.withColumn("_doc", F.col(id_col).cast("long")).withColumn("_text", F.col(text_col).cast("string")).withColumn("_node", row_node("_doc", "_text")).drop("_doc", "_text")
+    # Rows that the bit table leaves out are untouched and need no shuffle.
+    clean = bit_filter(keyed, "_node", touched, "node", inside=False)
+    near = bit_filter(keyed, "_node", touched, "node").join(touched.withColumnRenamed("node", "_node"), "_node", "left").where("lost is null or not lost")
+    near = near.where("lost is null").select(keyed.columns).unionByName(near.where("lost is not null").dropDuplicates(["_node"]).select(keyed.columns))
+    return clean.unionByName(near).select(docs.columns)
+
+
 def op2_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), n=3, percent=90)
 

@@ -174,7 +174,7 @@ def test_contamination(spark, odd, none, monkeypatch, block):
     df = odd.unionByName(spark.createDataFrame([(i, t, None, None, None, 1, 1, "", 0.0, "", "") for i, t in more], DOCS))
     got = Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in decontaminate.contamination(df, bench).collect())
     assert got == Counter((i, n, h, tuple(f)) for i, t in [*((i, t) for i, t, _ in ODD), *more] for n, h, f in [brute_hits(t, items)])
-    left = {r.doc_id: r.text for r in decontaminate.remove_contamination(df.drop("items"), bench).where("doc_id >= 50 or doc_id = 7").collect()}
+    left = {r.doc_id: r.text for r in decontaminate.remove_contamination(df, bench).where("doc_id >= 50 or doc_id = 7").collect()}
     assert left == {50: "q k"}
     assert decontaminate.contamination(none, bench).count() == 0
     assert decontaminate.contamination(odd, bench.where("false")).where("n_hit > 0").count() == 0
@@ -523,3 +523,29 @@ def test_pipeline(spark, sf):
             assert all(brute_hits(t, items)[1] == 0 for t in rows.values())
         before = rows
     assert json.loads(docs.toJSON().first())["rate"] >= 0
+
+
+def test_pipeline_on_odd_rows(spark, odd, none, tmp_path):
+    """run() over nulls, empty and long texts, repeated rows and columns of clashing names; each stage over no rows."""
+    import corpus_pipeline as C
+
+    more = [(20, "a passage of the test set that nobody should train on today", "en"), (21, "what the weaver wrote down about looms and shuttles and yarn", "en"), (21, "what the weaver wrote down about looms and shuttles and yarn", "en")]
+    docs = odd.unionByName(spark.createDataFrame([(i, t, lang, None, None, 9, 9, "k", 0.5, "i", "r") for i, t, lang in more], DOCS))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0, 1), (4, 0, 1), (7, 0, 0)], "doc_id long, toxic int, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, more[0][1]), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = C.run(spark, str(tmp_path)).collect()
+    got = Counter((r.doc_id, r.text) for r in rows)
+    assert got[(2, None)] == got[(3, "")] == got[(5, " \t\n")] == got[(7, "x")] == 1 and got[(4, LONG)] == 1
+    assert not [k for k in got if k[0] == 20] and sum(n for k, n in got.items() if k[0] == 21) == 1
+    assert sum(n for (_, t), n in got.items() if t and t.startswith("The quick")) == 1
+    assert {"node", "row", "key", "score", "items"} <= set(rows[0].asDict()) and all(r.rate >= 0 for r in rows)
+    for _, step in C.STAGES:
+        assert step(spark, none, str(tmp_path)).count() == 0
+
+
+def test_rows_of_one_id_go_by_their_texts(spark):
+    a, b, c = (" ".join(word(100 * k + i) for i in range(30)) for k in range(3))
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, c), (None, a), (4, "")]
+    got = Counter((r.doc_id, r.text) for r in ngram_join.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter([(1, a), (2, b), (3, c), (None, a), (4, "")])
