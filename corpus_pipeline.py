@@ -2,7 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a table that ``run`` writes as Parquet to the shared folder and reads
 again for the next one.  All stages but the last return the columns of ``documents``; the last adds n_words, posteriors
-and rate.  Rows with null texts pass every stage.
+and rate.
+
+Rows with null or empty texts pass every stage, with rate 1; so do texts of any length, which are read whole.  Rows that repeat
+doc_id and text pass toxicity and line dedup alike and become one in near_duplicates; columns beyond those of ``documents``
+pass through, whatever their names; an empty table gives an empty one at every stage.
 """
 
 from __future__ import annotations
@@ -33,10 +37,11 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, Jaccard 0.8 or more) the smallest doc_id stays."""
-    groups = ngram_join.near_duplicates(docs, n=5, percent=80)
-    lost = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(lost, "doc_id", "left_anti").select(docs.columns)
+    """Of each group of near-duplicates (five-word shingles, Jaccard 0.8 or more) the row of the smallest doc_id stays.
+
+    Rows that repeat doc_id and text are one; other rows of one doc_id go or stay each by its text.  Rows without words or id stay.
+    """
+    return ngram_join.drop_near_duplicates(docs, n=5, percent=80)
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +62,7 @@ STAGES = [
     ("mixing", mix_sources),
 ]
 
-#: SQL can express neither the classifiers nor the SimHash stage; the tests compare with brute force instead.
+#: SQL can express neither the classifiers nor the line stage; the tests compare with brute force instead.
 ORACLE_SQL = None
 
 
