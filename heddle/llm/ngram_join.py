@@ -14,10 +14,10 @@ every document.  Cutting that order into fragments cuts every document's set int
    the overlap from above.  Pairs whose bound is too low are no links.
 4. *Verification.*  For the others the overlaps are counted fragment by fragment and summed:
    I = sum of partial overlaps, U = |x|+|y|-I.
-5. *Rest.*  Segment groups that still hold several components are joined into families (connected over shared
-   segments).  A family of up to FAMILY sets is compared by the bound in one task, across components only; a larger one
-   by a join over its segments.  What passes is verified too, so every pair that shares a segment is either verified,
-   ruled out by the bound, or inside one component already.
+5. *Rest.*  In segment groups that still hold several components, members of different ones are compared by a join whose
+   condition lets few pairs out: their sizes allow a link, and bitmaps of BITS bits bound the n-grams that only one of them has from
+   below.  What passes goes through 3 and 4 too, so every pair that shares a segment is either verified, ruled out by a
+   bound, or inside one component already.
 
 Components over verified links and equal sets are exact.
 
@@ -42,7 +42,7 @@ from .common import bit_filter, components, release, stage, unstage
 FRAGMENTS = 8  # of the verification
 CELLS = 256  # of the bound
 SLICE = 1 << 20  # bytes of text handled at once
-FAMILY = 8192
+BITS = 512  # of the bitmaps
 PREFIX_BELOW = 85
 _K = np.array([0xA24BAED4963EE407, 0x9FB21C651E98DF25], np.uint64)
 
@@ -106,6 +106,13 @@ def fragment_counts(u: np.ndarray) -> bytes:
     return np.minimum(np.bincount((u >> np.uint64(56)).astype(np.int64), minlength=CELLS), 65535).astype("<u2").tobytes()
 
 
+def bitmap(u: np.ndarray) -> np.ndarray:
+    """BITS bits as 64-bit numbers; that of each n-gram's lowest bits is set."""
+    bits = np.zeros(BITS, np.uint8)
+    bits[(u % np.uint64(BITS)).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
 def may_link(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, percent: int) -> np.ndarray:
     """Whether 100*I >= percent*U is possible for rows of fragment counts and set sizes."""
     most = np.minimum(x, y).sum(1, dtype=np.int64)
@@ -138,24 +145,25 @@ def row_node(doc: str, text: str) -> Column:
 
 
 def signatures(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc, node, n_shingles, digest, keys, counts): one Python pass over the texts, no shuffle."""
+    """(doc, node, n_shingles, digest, keys, counts, bits): one Python pass over the texts, no shuffle."""
     classes = size_classes(percent)
     starts = np.array([c[0] for c in classes])
 
     def run(batches):
         for batch in T.docs_in_batch(batches, "text", SLICE):
-            sizes, digests, keys, counts = [], [], [], []
+            sizes, digests, keys, counts, bits = [], [], [], [], []
             for u in shingle_sets(batch.column(1), n):
                 sizes.append(len(u))
                 digests.append(set_digest(u) if len(u) else None)
                 keys.append(segment_keys(u, percent, classes, starts).tobytes() if len(u) else b"")
                 counts.append(fragment_counts(u) if len(u) else b"")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], ["of", "n_shingles", "digest", "keys", "counts"])
+                bits.append(bitmap(u))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary()), pa.array(bits, pa.list_(pa.int64()))], ["of", "n_shingles", "digest", "keys", "counts", "bits"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     rows = rows.select(F.struct("doc", row_node("doc", "text").alias("node")).alias("of"), "text")
-    out = rows.mapInArrow(run, "of struct<doc:long,node:long>, n_shingles long, digest binary, keys binary, counts binary")
-    return out.select("of.*", "n_shingles", "digest", "keys", "counts")
+    out = rows.mapInArrow(run, "of struct<doc:long,node:long>, n_shingles long, digest binary, keys binary, counts binary, bits array<long>")
+    return out.select("of.*", "n_shingles", "digest", "keys", "counts", "bits")
 
 
 def _local_stars(batches):
@@ -238,32 +246,16 @@ def open_members(links: DataFrame, comp: DataFrame) -> DataFrame:
     return member.join(open_keys, "key", "left_semi").join(comp, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
 
 
-def family_pairs(member: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that share a segment group or family and pass the bound."""
-    def run(table: pa.Table) -> pa.Table:
-        x = _counts(table.column("counts").combine_chunks())
-        node, root, size = (table.column(c).to_numpy() for c in ("node", "root", "n_shingles"))
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for i in range(len(node) - 1):
-            rest = i + 1 + np.flatnonzero((root[i + 1 :] != root[i]) & (100 * np.minimum(size[i], size[i + 1 :]) >= percent * np.maximum(size[i], size[i + 1 :])))
-            if len(rest):
-                rest = rest[may_link(x[i][None], x[rest], size[i], size[rest], percent)]
-                a.append(np.full(len(rest), node[i]))
-                b.append(node[rest])
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
-
-    hub = member.groupBy("key").agg(F.min("node").alias("hub"))
-    family = components(member.join(hub, "key").select(F.col("node").alias("a"), F.col("hub").alias("b")))
-    family = stage(family.withColumnRenamed("root", "family"), "families")
-    sizes = family.groupBy("family").agg(F.count("*").alias("m"))
-    nodes = member.select("node", "root").distinct().join(family, "node").join(sizes, "family")
-    small = (
-        nodes.where(F.col("m") <= FAMILY).join(sets, "node").select("family", "node", "root", "n_shingles", "counts")
-        .groupBy("family").applyInArrow(run, "a long, b long")
-    )
-    big = member.join(nodes.where(F.col("m") > FAMILY).select("node"), "node", "left_semi")
-    other = big.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"))
-    return small.union(big.withColumnRenamed("node", "a").join(other, "key").where("root < root_b").select("a", "b"))
+def open_pairs(member: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a segment group and that sizes and bitmaps allow to be linked."""
+    words = range(BITS // 64)
+    side = member.join(sets.select("node", F.col("n_shingles").alias("n"), *(F.col("bits")[i].alias(f"w{i}") for i in words)), "node")
+    other = side.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("n_b"), *(F.col(f"w{i}").alias(f"v{i}") for i in words))
+    # 100 * I >= percent * U leaves each side at most n - I n-grams of its own, with I = percent * (n + n_b) / (100 + percent).
+    own = lambda x, y: " + ".join(f"bit_count({x}{i} & ~{y}{i})" for i in words)
+    least = f"{percent} * (n + n_b)"
+    fits = f"root < root_b and 100 * least(n, n_b) >= {percent} * greatest(n, n_b) and (n - ({own('w', 'v')})) * {100 + percent} >= {least} and (n_b - ({own('v', 'w')})) * {100 + percent} >= {least}"
+    return side.withColumnRenamed("node", "a").join(other, "key").where(fits).select("a", "b")
 
 
 def linked(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -279,20 +271,23 @@ def linked(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) ->
         .mapInArrow(_global_stars, "key long, node long, leader long")
     )
     links = stage(links, "stars")
-    sets = stage(reps.select("node", "n_shingles", "counts").dropDuplicates(["node"]), "sets")
+    sets = stage(reps.select("node", "n_shingles", "counts", "bits").dropDuplicates(["node"]), "sets")
+    release(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).select(row_node("doc", "text").alias("node"), "text")
 
     def check(pairs: DataFrame) -> DataFrame:
         pairs = stage(bounded(pairs.distinct(), sets, percent), "pairs")
         good = verified(texts, classes, pairs, n, percent)
         unstage(pairs)
+        release(docs.sparkSession)
         return good
 
     edges = check(links.select(F.col("node").alias("a"), F.col("leader").alias("b")))
     comp = stage(components(edges), "components")
     member = stage(open_members(links, comp), "open")
+    release(docs.sparkSession)
     if not member.isEmpty():
-        edges = edges.union(check(family_pairs(member, sets, percent)))
+        edges = edges.union(check(open_pairs(member, sets, percent)))
         comp = stage(components(edges), "components")
     unstage(member)
     unstage(links, sets)

@@ -110,8 +110,7 @@ def test_near_duplicates_of_ids_with_several_texts(spark):
     assert got == Counter((i, 28 if t else 0, None if i is None else 1 if i < 7 else 7) for i, t in rows)
 
 
-def test_large_families_are_compared_over_their_segments(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "FAMILY", 3)
+def test_families_are_compared_over_their_segments(spark):
     rng = np.random.default_rng(5)
     t = rng.choice(list("abcdefghijklmnop"), 60)
     rows = []
