@@ -386,6 +386,25 @@ def test_line_dedup_bounds(spark):
     assert all(got[10 + 2 * i] and got[11 + 2 * i] == "" for i in range(12))
 
 
+def one_block(lines):
+    return lines.withColumn("blocks", F.when(F.col("ring").isNotNull(), F.array(F.lit(1).cast("long")))).drop("ring")
+
+
+@pytest.fixture
+def crowd():
+    """400 unlike lines and, among them, both ends of each of 8 links."""
+    rows = [(i, " ".join(word(12 * i + k) for k in range(12))) for i in range(408)]
+    return rows + [(1000 + i, line[:-1] + "k") for i, line in rows[::51]]
+
+
+def test_line_dedup_compares_all_of_a_group(spark, crowd, monkeypatch, tmp_path):
+    """No link of a group is left to the draw."""
+    monkeypatch.setattr(line_dedup, "with_blocks", one_block)
+    spark.createDataFrame(crowd, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.n_dropped for r in line_dedup.op8_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {i: int(i >= 1000) for i, _ in crowd}
+
+
 def test_line_dedup_short(spark, tmp_path):
     """In the query and the pipeline every line that is not blank takes part; short ones go only if they are equal."""
     import corpus_pipeline as C
