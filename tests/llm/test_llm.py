@@ -405,6 +405,14 @@ def test_line_dedup_compares_all_of_a_group(spark, crowd, monkeypatch, tmp_path)
     assert got == {i: int(i >= 1000) for i, _ in crowd}
 
 
+def test_pipeline_line_dedup_compares_all_of_a_group(spark, crowd, monkeypatch, tmp_path):
+    import corpus_pipeline as C
+
+    monkeypatch.setattr(line_dedup, "with_blocks", one_block)
+    kept = C.drop_repeated_lines(spark, spark.createDataFrame(crowd, "doc_id long, text string"), str(tmp_path))
+    assert {r.doc_id for r in kept.collect()} == set(range(408))
+
+
 def test_line_dedup_short(spark, tmp_path):
     """In the query and the pipeline every line that is not blank takes part; short ones go only if they are equal."""
     import corpus_pipeline as C
