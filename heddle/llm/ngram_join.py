@@ -3,9 +3,10 @@
 The distinct word n-grams of a text are 64-bit hashes; their numeric order is the global n-gram order, the same for
 every document.  Cutting that order into fragments cuts every document's set into segments:
 
-1. *Candidates.*  Two sets with 100*I >= p*U differ in at most d = (|x|+|y|)*(100-p)/(100+p) n-grams, so of d+1
-   fragments at least one holds the same segment in both.  Documents are therefore grouped by segment hash
-   (per size class, as d depends on size).  No link can be missed.  Below PREFIX_BELOW percent the segments would be short
+1. *Candidates.*  Two sets with 100*I >= p*U differ in at most d = (|x|+|y|)*(100-p)/(100+p) n-grams, so of d+1+s
+   fragments at least s+1 hold the same segment in both.  Documents are therefore grouped by segment hash
+   (per size class, as d depends on size).  Segments of one n-gram or none are shared by unlike sets: a set with at most s of them
+   does without, since one of the s+1 is longer.  No link can be missed.  Below PREFIX_BELOW percent the segments would be short
    and often empty, and so shared by unlike sets; there the first |x| - ceil(p|x|) + 1 n-grams in the global order are
    the keys instead, of which two linked sets share one.
 2. *Stars.*  Equal sets form one class first.  A segment group of m classes proposes m-1 pairs (member, leader),
@@ -13,7 +14,8 @@ every document.  Cutting that order into fragments cuts every document's set int
 3. *Bound.*  Each set carries how many n-grams it has in each of 256 fragments; the sum of the smaller counts bounds
    the overlap from above.  Pairs whose bound is too low are no links.
 4. *Verification.*  For the others the overlaps are counted fragment by fragment and summed:
-   I = sum of partial overlaps, U = |x|+|y|-I.
+   I = sum of partial overlaps, U = |x|+|y|-I.  Each set's pair with the smallest of its leaders goes first; of the other pairs
+   those follow whose ends are not connected by then.
 5. *Rest.*  In segment groups that still hold several components, members of different ones are compared by a join whose
    condition lets few pairs out: their sizes allow a link, and bitmaps of BITS bits bound the n-grams that only one of them has from
    below.  What passes goes through 3 and 4 too, so every pair that shares a segment is either verified, ruled out by a
@@ -80,6 +82,11 @@ def size_classes(percent: int) -> list[tuple[int, int, int]]:
     return out
 
 
+def spare(fragments: int) -> int:
+    """How many fragments there are beyond those needed; as many segments of one n-gram or none may be left out."""
+    return 1 + fragments // 16 if fragments > 1 else 0
+
+
 def segment_keys(u: np.ndarray, percent: int, classes: list[tuple[int, int, int]], starts: np.ndarray) -> np.ndarray:
     """A hash for each (size class, fragment, segment) of a set; also of the next class if a partner may lie in it."""
     n = len(u)
@@ -93,11 +100,15 @@ def segment_keys(u: np.ndarray, percent: int, classes: list[tuple[int, int, int]
         if j > k and 100 * n < percent * classes[j][0]:
             break
         if f > 1:
+            s = spare(f)
+            f += s
             cuts = np.searchsorted(u, (np.arange(1, f, dtype=np.float64) * (2.0**64 / f)).astype(np.uint64))
             cuts = np.concatenate([[0], cuts, [n]])
             with np.errstate(over="ignore"):
                 seg = sums[cuts[1:]] - sums[cuts[:-1]]
-                out.append(T.mix(seg * _K[0] + (np.arange(f, dtype=np.uint64) + np.uint64(j << 32)) * _K[1]))
+                keys = T.mix(seg * _K[0] + (np.arange(f, dtype=np.uint64) + np.uint64(j << 32)) * _K[1])
+            weak = np.diff(cuts) <= 1
+            out.append(keys[~weak] if weak.sum() <= s else keys)
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -235,6 +246,18 @@ def verified(texts: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, per
     return out
 
 
+def first_pairs(links: DataFrame) -> DataFrame:
+    """The pair (a, b) of each node with the smallest of its leaders."""
+    return links.groupBy("node").agg(F.min("leader").alias("b")).select(F.col("node").alias("a"), "b")
+
+
+def other_pairs(links: DataFrame, comp: DataFrame) -> DataFrame:
+    """The other pairs (a, b) with leaders whose ends ``comp`` leaves apart."""
+    pairs = links.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct().join(first_pairs(links), ["a", "b"], "left_anti")
+    ends = pairs.join(comp.withColumnsRenamed({"node": "a", "root": "ra"}), "a", "left").join(comp.withColumnsRenamed({"node": "b", "root": "rb"}), "b", "left")
+    return ends.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+
+
 def open_members(links: DataFrame, comp: DataFrame) -> DataFrame:
     """(key, node, root) of every member of a segment group that holds several components."""
     lead = comp.select(F.col("node").alias("leader"), F.col("root").alias("leader_root"))
@@ -282,12 +305,16 @@ def linked(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) ->
         release(docs.sparkSession)
         return good
 
-    edges = check(links.select(F.col("node").alias("a"), F.col("leader").alias("b")))
+    edges = check(first_pairs(links))
+    comp = stage(components(edges), "components")
+    edges = edges.union(check(other_pairs(links, comp)))
+    unstage(comp)
     comp = stage(components(edges), "components")
     member = stage(open_members(links, comp), "open")
     release(docs.sparkSession)
     if not member.isEmpty():
         edges = edges.union(check(open_pairs(member, sets, percent)))
+        unstage(comp)
         comp = stage(components(edges), "components")
     unstage(member)
     unstage(links, sets)

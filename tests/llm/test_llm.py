@@ -122,6 +122,34 @@ def test_families_are_compared_over_their_segments(spark):
     assert got == set(brute_components(rows, 3, 85))
 
 
+def test_unlike_sets_share_no_segments():
+    """Empty segments and single n-grams are no keys; sets that differ in as much as a link allows share a key all the same."""
+    rng = np.random.default_rng(3)
+    classes = ngram_join.size_classes(90)
+    starts = np.array([c[0] for c in classes])
+    keys = lambda u: ngram_join.segment_keys(np.unique(u), 90, classes, starts)
+    sets = [rng.integers(0, 1 << 64, 3000, np.uint64) for _ in range(150)]
+    shared = Counter(k for u in sets for k in set(keys(u).tolist()))
+    assert max(shared.values()) == 1
+    for n in [10, 12, 19, 20, 37, 60, 100, 333, 1000, 3000]:
+        for _ in range(60):
+            common = rng.integers(0, 1 << 64, n, np.uint64)
+            most = n * 10 // 90  # n-grams that only one of the two has, at 0.9
+            a = int(rng.integers(0, most + 1))
+            x, y = (np.concatenate([common, rng.integers(0, 1 << 64, k, np.uint64)]) for k in (a, most - a))
+            assert most == 0 or np.intersect1d(keys(x), keys(y)).size
+
+
+def test_connected_sets_are_verified_once(spark, monkeypatch):
+    """Of a group of copies with one word replaced, each is verified with few others, whatever the leaders of its segments."""
+    rng, seen, check = np.random.default_rng(6), [], ngram_join.verified
+    monkeypatch.setattr(ngram_join, "verified", lambda texts, classes, pairs, *rest: seen.append(pairs.count()) or check(texts, classes, pairs, *rest))
+    base = [word(i) for i in range(300)]
+    rows = [(i, " ".join(base[:at] + [word(1000 + i)] + base[at + 1 :])) for i, at in enumerate(rng.integers(0, 300, 80))]
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()
+    assert {r.component_id for r in got} == {0} and sum(seen) <= 1.2 * len(rows)
+
+
 def test_near_duplicates_on_odd_rows(odd, none):
     got = Counter((r.doc_id, r.component_id) for r in ngram_join.near_duplicates(odd).collect())
     assert got == Counter({(1, 1): 3, (2, 2): 1, (None, None): 1, (3, 3): 1, (4, 4): 1, (5, 5): 1, (6, 1): 1, (7, 7): 1})
