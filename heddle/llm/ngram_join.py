@@ -282,7 +282,7 @@ def open_pairs(member: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def linked(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(signatures; (doc, node, rep) of rows with words and an id; links (a, b) of class representatives; their components)."""
+    """((doc, node, n_shingles, digest) of every row; (doc, node, rep) of rows with words and an id; links (a, b) of class representatives; their components)."""
     sigs = stage(signatures(docs, n, percent, id_col, text_col), "signatures")
     full = sigs.where("doc is not null and n_shingles > 0")
     classes = stage(full.groupBy("digest").agg(F.min("node").alias("rep")), "classes")
@@ -295,6 +295,10 @@ def linked(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) ->
     )
     links = stage(links, "stars")
     sets = stage(reps.select("node", "n_shingles", "counts", "bits").dropDuplicates(["node"]), "sets")
+    # Keys, counts and bits of all rows need not lie on disk while pairs are verified.
+    wide, sigs = sigs, stage(sigs.select("doc", "node", "n_shingles", "digest"), "rows")
+    full = sigs.where("doc is not null and n_shingles > 0")
+    unstage(wide)
     release(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).select(row_node("doc", "text").alias("node"), "text")
 

@@ -11,6 +11,8 @@ import re
 import zlib
 from collections import Counter
 
+from pathlib import Path
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -150,6 +152,18 @@ def test_connected_sets_are_verified_once(spark, monkeypatch):
     assert {r.component_id for r in got} == {0} and sum(seen) <= 1.2 * len(rows)
 
 
+def test_signatures_are_deleted_before_pairs_are_verified(spark, monkeypatch):
+    from heddle.llm import common
+
+    check, kept = ngram_join.verified, []
+    path = lambda df: Path(df.staged_path.removeprefix("file:"))
+    written = []
+    monkeypatch.setattr(ngram_join, "stage", lambda df, tag: written.append((tag, common.stage(df, tag))) or written[-1][1])
+    monkeypatch.setattr(ngram_join, "verified", lambda *a: kept.extend(t for t, df in written if t == "signatures" and path(df).exists()) or check(*a))
+    rows = [(i, " ".join(word(k) for k in range(i // 2, 60))) for i in range(6)]
+    assert ngram_join.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).count() == 1 and not kept
+
+
 def test_near_duplicates_on_odd_rows(odd, none):
     got = Counter((r.doc_id, r.component_id) for r in ngram_join.near_duplicates(odd).collect())
     assert got == Counter({(1, 1): 3, (2, 2): 1, (None, None): 1, (3, 3): 1, (4, 4): 1, (5, 5): 1, (6, 1): 1, (7, 7): 1})
