@@ -17,8 +17,8 @@ every document.  Cutting that order into fragments cuts every document's set int
    I = sum of partial overlaps, U = |x|+|y|-I.  Each set's pair with the smallest of its leaders goes first; of the other pairs
    those follow whose ends are not connected by then.
 5. *Rest.*  In segment groups that still hold several components, members of different ones are compared by a join whose
-   condition lets few pairs out: their sizes allow a link, and bitmaps of BITS bits bound the n-grams that only one of them has from
-   below.  What passes goes through 3 and 4 too, so every pair that shares a segment is either verified, ruled out by a
+   condition lets few pairs out: their sizes allow a link, bitmaps of BITS bits bound the n-grams that only one of them has from
+   below, and the first EARLY keys of both show no earlier group in which they meet.  What passes goes through 3 and 4 too, so every pair that shares a segment is either verified, ruled out by a
    bound, or inside one component already.
 
 Components over verified links and equal sets are exact.
@@ -45,6 +45,7 @@ FRAGMENTS = 8  # of the verification
 CELLS = 256  # of the bound
 SLICE = 1 << 20  # bytes of text handled at once
 BITS = 512  # of the bitmaps
+EARLY = 8  # keys of a set that tell where a pair has met before
 PREFIX_BELOW = 85
 _K = np.array([0xA24BAED4963EE407, 0x9FB21C651E98DF25], np.uint64)
 
@@ -272,13 +273,17 @@ def open_members(links: DataFrame, comp: DataFrame) -> DataFrame:
 def open_pairs(member: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components that share a segment group and that sizes and bitmaps allow to be linked."""
     words = range(BITS // 64)
-    side = member.join(sets.select("node", F.col("n_shingles").alias("n"), *(F.col("bits")[i].alias(f"w{i}") for i in words)), "node")
-    other = side.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("n_b"), *(F.col(f"w{i}").alias(f"v{i}") for i in words))
+    early = member.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("key")), 1, EARLY).alias("early"))
+    about = sets.select("node", F.col("n_shingles").alias("n"), *(F.col("bits")[i].alias(f"w{i}") for i in words))
+    side = member.join(early, "node").join(about, "node")
+    other = side.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("early").alias("early_b"), F.col("n").alias("n_b"), *(F.col(f"w{i}").alias(f"v{i}") for i in words))
     # 100 * I >= percent * U leaves each side at most n - I n-grams of its own, with I = percent * (n + n_b) / (100 + percent).
     own = lambda x, y: " + ".join(f"bit_count({x}{i} & ~{y}{i})" for i in words)
     least = f"{percent} * (n + n_b)"
     fits = f"root < root_b and 100 * least(n, n_b) >= {percent} * greatest(n, n_b) and (n - ({own('w', 'v')})) * {100 + percent} >= {least} and (n_b - ({own('v', 'w')})) * {100 + percent} >= {least}"
-    return side.withColumnRenamed("node", "a").join(other, "key").where(fits).select("a", "b")
+    # A pair shares many keys.  Where both sets have an earlier one among their first it meets there; at its first of all it always gets out.
+    anew = F.coalesce(F.array_min(F.array_intersect("early", "early_b")) >= F.col("key"), F.lit(True))
+    return side.withColumnRenamed("node", "a").join(other, "key").where(F.expr(fits) & anew).select("a", "b")
 
 
 def linked(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:

@@ -164,6 +164,15 @@ def test_signatures_are_deleted_before_pairs_are_verified(spark, monkeypatch):
     assert ngram_join.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).count() == 1 and not kept
 
 
+def test_open_pairs_come_out_once(spark):
+    """Sets that share many segments leave the join at one of them, not at each; those that share late ones only are not lost."""
+    own = {i: range(20) for i in range(10)} | {10: [*range(100, 120), 500, 501], 11: [*range(200, 220), 500, 501]}
+    member = spark.createDataFrame([(k, i, i) for i, keys in own.items() for k in keys], "key long, node long, root long")
+    sets = spark.createDataFrame([(i, 10, [1] * (ngram_join.BITS // 64)) for i in own], "node long, n_shingles long, bits array<long>")
+    got = Counter((r.a, r.b) for r in ngram_join.open_pairs(member, sets, 90).collect())
+    assert got == Counter(itertools.combinations(range(10), 2)) + Counter({(10, 11): 2})
+
+
 def test_near_duplicates_on_odd_rows(odd, none):
     got = Counter((r.doc_id, r.component_id) for r in ngram_join.near_duplicates(odd).collect())
     assert got == Counter({(1, 1): 3, (2, 2): 1, (None, None): 1, (3, 3): 1, (4, 4): 1, (5, 5): 1, (6, 1): 1, (7, 7): 1})
