@@ -21,6 +21,9 @@ every document.  Cutting that order into fragments cuts every document's set int
    below, and the first EARLY keys of both show no earlier group in which they meet.  What passes goes through 3 and 4 too, so every pair that shares a segment is either verified, ruled out by a
    bound, or inside one component already.
 
+Disk: keys are shuffled, open groups joined and overlaps counted in passes over parts of the keys or pairs, each of them staged and
+its shuffles released before the next.  Passes leave nothing out.
+
 Components over verified links and equal sets are exact.
 
 Edge cases: null or empty text, or text without words: n_shingles 0, linked with nothing.  Null doc_id: the row stays,
@@ -32,6 +35,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -39,12 +43,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as T
-from .common import bit_filter, components, release, stage, unstage
+from .common import bit_filter, components, release, stage, union_all, unstage
 
 FRAGMENTS = 8  # of the verification
 CELLS = 256  # of the bound
 SLICE = 1 << 20  # bytes of text handled at once
 BITS = 512  # of the bitmaps
+PASSES = 4  # over the keys, so that a part of them is shuffled at a time
+FEW = 1 << 22  # n-grams of all sets; up to so many one pass does
 EARLY = 8  # keys of a set that tell where a pair has met before
 PREFIX_BELOW = 85
 _K = np.array([0xA24BAED4963EE407, 0x9FB21C651E98DF25], np.uint64)
@@ -137,6 +143,25 @@ def _counts(col: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(col.to_pylist()), "<u2").reshape(-1, CELLS)
 
 
+def slim(sets: DataFrame) -> DataFrame:
+    """(node, n, bitmap as columns w0, w1 and so on) of ``sets``."""
+    return sets.select("node", F.col("n_shingles").alias("n"), *(F.col("bits")[i].alias(f"w{i}") for i in range(BITS // 64)))
+
+
+def fits(percent: int) -> str:
+    """SQL: whether sizes n, n_b and bitmaps w, v allow a link."""
+    # 100 * I >= percent * U leaves each side at most n - I n-grams of its own, with I = percent * (n + n_b) / (100 + percent).
+    own = lambda x, y: " + ".join(f"bit_count({x}{i} & ~{y}{i})" for i in range(BITS // 64))
+    least = f"{percent} * (n + n_b)"
+    return f"100 * least(n, n_b) >= {percent} * greatest(n, n_b) and (n - ({own('w', 'v')})) * {100 + percent} >= {least} and (n_b - ({own('v', 'w')})) * {100 + percent} >= {least}"
+
+
+def fitting(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and bitmaps do not rule out: most go before their counts are shuffled."""
+    one, other = slim(sets).withColumnRenamed("node", "a"), slim(sets).withColumnsRenamed({"node": "b", "n": "n_b"} | {f"w{i}": f"v{i}" for i in range(BITS // 64)})
+    return pairs.join(one, "a").join(other, "b").where(fits(percent)).select("a", "b")
+
+
 def bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that the bound does not rule out; sets: node, n_shingles, counts."""
     def run(batches):
@@ -178,11 +203,11 @@ def signatures(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str
     return out.select("of.*", "n_shingles", "digest", "keys", "counts", "bits")
 
 
-def _local_stars(batches):
-    """Per batch: each key once with its first node (leader null), and (key, node, that first node) for the others."""
+def _local_stars(batches, part: int, passes: int):
+    """Per batch, of the keys of ``part``: each once with its first node (leader null), and (key, node, that first node) for the others."""
     for batch in batches:
         nodes = batch.column(0).to_numpy(zero_copy_only=False)
-        raw = [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
+        raw = [x[x % np.uint64(passes) == part] for x in (np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist())]
         if not raw or not sum(map(len, raw)):
             continue
         keys, node = np.concatenate(raw), np.repeat(nodes, [len(x) for x in raw])
@@ -216,8 +241,8 @@ def _global_stars(batches):
             yield pa.RecordBatch.from_arrays([pa.array(key[use]), pa.array(node[use]), pa.array(lead[use])], ["key", "node", "leader"])
 
 
-def verified(texts: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Of ``pairs`` (a, b) of class representatives, those linked; overlaps are counted per fragment and summed per pair."""
+def verified(texts: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, percent: int, total: int) -> DataFrame:
+    """Of ``pairs`` (a, b) of class representatives, those linked; overlaps are counted per fragment and summed per pair.  total: the sizes of all sets."""
     def run(batches):
         for batch in T.docs_in_batch(batches, "text", SLICE):
             node, frag, size, toks = [], [], [], []
@@ -235,16 +260,23 @@ def verified(texts: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, per
     wanted = bit_filter(texts, "node", ids, "node").join(ids.hint("shuffle_hash"), "node").dropDuplicates(["node", "text"])
     seg = stage(wanted.select("node", "text", "digest").mapInArrow(run, "node long, frag int, size long, toks array<long>"), "segments")
     side = lambda x: seg.select(F.col("node").alias(x), "frag", F.col("size").alias(f"size_{x}"), F.col("toks").alias(f"toks_{x}"))
-    overlap = (
-        pairs.join(side("a"), "a").join(side("b").select("b", "frag", F.col("toks_b")), ["b", "frag"], "left")
-        .withColumn("part", F.coalesce(F.size(F.array_intersect("toks_a", "toks_b")), F.lit(0)))
-        .groupBy("a", "b").agg(F.sum("part").alias("i"), F.max("size_a").alias("size_a"))
-    )
     sizes = seg.where("frag = 0").select(F.col("node").alias("b"), F.col("size").alias("size_b"))
-    good = overlap.join(sizes, "b").where(F.col("i") * 100 >= F.lit(percent) * (F.col("size_a") + F.col("size_b") - F.col("i")))
-    out = stage(good.select("a", "b"), "links")
+    # Each pair ships a set.  All pairs at once would need room that grows with them, not with the input.
+    weight = pairs.join(seg.where("frag = 0").select(F.col("node").alias("a"), "size"), "a").agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    turns = max(1, -(-PASSES * weight // max(total, PASSES * FEW)))
+    found = []
+    for turn in range(turns):
+        some = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(turns)) == turn) if turns > 1 else pairs
+        overlap = (
+            some.join(side("a"), "a").join(side("b").select("b", "frag", F.col("toks_b")), ["b", "frag"], "left")
+            .withColumn("part", F.coalesce(F.size(F.array_intersect("toks_a", "toks_b")), F.lit(0)))
+            .groupBy("a", "b").agg(F.sum("part").alias("i"), F.max("size_a").alias("size_a"))
+        )
+        good = overlap.join(sizes, "b").where(F.col("i") * 100 >= F.lit(percent) * (F.col("size_a") + F.col("size_b") - F.col("i")))
+        found.append(stage(good.select("a", "b"), "links"))
+        release(pairs.sparkSession)
     unstage(seg)
-    return out
+    return union_all(found)
 
 
 def first_pairs(links: DataFrame) -> DataFrame:
@@ -270,20 +302,14 @@ def open_members(links: DataFrame, comp: DataFrame) -> DataFrame:
     return member.join(open_keys, "key", "left_semi").join(comp, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
 
 
-def open_pairs(member: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that share a segment group and that sizes and bitmaps allow to be linked."""
-    words = range(BITS // 64)
+def open_pairs(member: DataFrame, sets: DataFrame, percent: int, part: int = 0, passes: int = 1) -> DataFrame:
+    """Pairs (a, b) of different components that share a segment group and that sizes and bitmaps allow to be linked; those met at the keys of ``part``."""
     early = member.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("key")), 1, EARLY).alias("early"))
-    about = sets.select("node", F.col("n_shingles").alias("n"), *(F.col("bits")[i].alias(f"w{i}") for i in words))
-    side = member.join(early, "node").join(about, "node")
-    other = side.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("early").alias("early_b"), F.col("n").alias("n_b"), *(F.col(f"w{i}").alias(f"v{i}") for i in words))
-    # 100 * I >= percent * U leaves each side at most n - I n-grams of its own, with I = percent * (n + n_b) / (100 + percent).
-    own = lambda x, y: " + ".join(f"bit_count({x}{i} & ~{y}{i})" for i in words)
-    least = f"{percent} * (n + n_b)"
-    fits = f"root < root_b and 100 * least(n, n_b) >= {percent} * greatest(n, n_b) and (n - ({own('w', 'v')})) * {100 + percent} >= {least} and (n_b - ({own('v', 'w')})) * {100 + percent} >= {least}"
+    side = member.where(F.pmod("key", F.lit(passes)) == part).join(early, "node").join(slim(sets), "node")
+    other = side.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("early").alias("early_b"), F.col("n").alias("n_b"), *(F.col(f"w{i}").alias(f"v{i}") for i in range(BITS // 64)))
     # A pair shares many keys.  Where both sets have an earlier one among their first it meets there; at its first of all it always gets out.
     anew = F.coalesce(F.array_min(F.array_intersect("early", "early_b")) >= F.col("key"), F.lit(True))
-    return side.withColumnRenamed("node", "a").join(other, "key").where(F.expr(fits) & anew).select("a", "b")
+    return side.withColumnRenamed("node", "a").join(other, "key").where(F.expr(f"root < root_b and {fits(percent)}") & anew).select("a", "b")
 
 
 def linked(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -292,14 +318,21 @@ def linked(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) ->
     full = sigs.where("doc is not null and n_shingles > 0")
     classes = stage(full.groupBy("digest").agg(F.min("node").alias("rep")), "classes")
     reps = full.join(classes.select("digest", F.col("rep").alias("node")).hint("shuffle_hash"), ["digest", "node"], "left_semi")
-    links = (
-        reps.select("node", "keys").mapInArrow(_local_stars, "key long, node long, leader long")
-        .withColumn("deal", F.when(F.col("leader").isNull(), F.col("key")).otherwise(F.xxhash64("key", "node")))
-        .repartition("deal").sortWithinPartitions("key", "node").drop("deal")
-        .mapInArrow(_global_stars, "key long, node long, leader long")
-    )
-    links = stage(links, "stars")
     sets = stage(reps.select("node", "n_shingles", "counts", "bits").dropDuplicates(["node"]), "sets")
+    total = sets.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    passes = PASSES if total > FEW else 1
+    release(docs.sparkSession)
+    stars = []
+    for part in range(passes):
+        found = (
+            reps.select("node", "keys").mapInArrow(partial(_local_stars, part=part, passes=passes), "key long, node long, leader long")
+            .withColumn("deal", F.when(F.col("leader").isNull(), F.col("key")).otherwise(F.xxhash64("key", "node")))
+            .repartition("deal").sortWithinPartitions("key", "node").drop("deal")
+            .mapInArrow(_global_stars, "key long, node long, leader long")
+        )
+        stars.append(stage(found, "stars"))
+        release(docs.sparkSession)
+    links = union_all(stars)
     # Keys, counts and bits of all rows need not lie on disk while pairs are verified.
     wide, sigs = sigs, stage(sigs.select("doc", "node", "n_shingles", "digest"), "rows")
     full = sigs.where("doc is not null and n_shingles > 0")
@@ -308,8 +341,10 @@ def linked(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) ->
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).select(row_node("doc", "text").alias("node"), "text")
 
     def check(pairs: DataFrame) -> DataFrame:
-        pairs = stage(bounded(pairs.distinct(), sets, percent), "pairs")
-        good = verified(texts, classes, pairs, n, percent)
+        near = stage(fitting(pairs.distinct(), sets, percent), "fitting")
+        pairs = stage(bounded(near, sets, percent), "pairs")
+        unstage(near)
+        good = verified(texts, classes, pairs, n, percent, total)
         unstage(pairs)
         release(docs.sparkSession)
         return good
@@ -322,11 +357,16 @@ def linked(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) ->
     member = stage(open_members(links, comp), "open")
     release(docs.sparkSession)
     if not member.isEmpty():
-        edges = edges.union(check(open_pairs(member, sets, percent)))
+        met = []
+        for part in range(passes):
+            met.append(stage(open_pairs(member, sets, percent, part, passes), "met"))
+            release(docs.sparkSession)
+        edges = edges.union(check(union_all(met)))
+        unstage(*met)
         unstage(comp)
         comp = stage(components(edges), "components")
     unstage(member)
-    unstage(links, sets)
+    unstage(*stars, sets)
     release(docs.sparkSession)
     of = stage(full.select("doc", "node", "digest").join(classes, "digest").select("doc", "node", "rep"), "classes-of")
     unstage(classes)

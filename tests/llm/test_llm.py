@@ -173,6 +173,31 @@ def test_open_pairs_come_out_once(spark):
     assert got == Counter(itertools.combinations(range(10), 2)) + Counter({(10, 11): 2})
 
 
+def test_near_duplicates_in_passes(spark, monkeypatch):
+    """Passes over parts of keys and pairs find what one pass finds."""
+    rng, passes, verify = np.random.default_rng(5), [], ngram_join.open_pairs
+    monkeypatch.setattr(ngram_join, "FEW", 1)
+    monkeypatch.setattr(ngram_join, "open_pairs", lambda *args: passes.append(args[3:]) or verify(*args))
+    t = rng.choice(list("abcdefghijklmnop"), 60)
+    rows = []
+    for i in range(14):
+        w = t.copy()
+        w[rng.integers(0, 60, 2)] = str(i)
+        rows.append((i, " ".join(w)))
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 80).collect()}
+    assert got == set(brute_components(rows, 3, 80)) and passes in ([], [(i, 4) for i in range(4)])
+
+
+def test_line_table_is_deleted(spark):
+    """The table of all lines does not lie on disk while the later stages of a pipeline run."""
+    from heddle.llm.common import shared_dir
+
+    there = lambda: set(Path(shared_dir(spark).removeprefix("file:"), "heddle").glob("lines-*"))
+    before = there()
+    line_dedup.dropped_lines(spark.createDataFrame([(1, "one line of five words\n"), (2, "one line of five words")], "doc_id long, text string")).collect()
+    assert there() == before
+
+
 def test_near_duplicates_on_odd_rows(odd, none):
     got = Counter((r.doc_id, r.component_id) for r in ngram_join.near_duplicates(odd).collect())
     assert got == Counter({(1, 1): 3, (2, 2): 1, (None, None): 1, (3, 3): 1, (4, 4): 1, (5, 5): 1, (6, 1): 1, (7, 7): 1})
