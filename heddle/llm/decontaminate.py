@@ -230,7 +230,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text")
     """``docs`` with n_words, n_hit, items (ids, sorted as strings) and removal spans (UTF-8 byte offsets in the text)."""
     def scan(df: DataFrame, phrases) -> DataFrame:
         def run(batches):
-            for batch in T.docs_in_batch(batches, "_text"):
+            for batch in T.docs_in_batch(batches, "_text", T.SLICE):
                 col = batch.column(batch.num_columns - 1)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *_shard(col, phrases.value)], [*batch.schema.names[:-1], "n_words", "n_hit", "items", "spans"])
 

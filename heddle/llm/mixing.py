@@ -85,7 +85,7 @@ def train(docs: DataFrame, labels: DataFrame, domain_col: str = "lang", id_col:
     rows = rows.groupBy("_id").agg(F.min(F.struct("_mark", "_text")).alias("r")).select("r._mark", "r._text")  # an id that documents repeat counts once
 
     def run(batches):
-        for batch in T.docs_in_batch(batches, "_text"):
+        for batch in T.docs_in_batch(batches, "_text", T.SLICE):
             h, b = T.words(batch.column(1), "space")
             # Words of a text beyond the evidence that counts would only weigh long texts more: distinct words once.
             sets = [np.unique(h[b[i] : b[i + 1]]).tobytes() for i in range(batch.num_rows)]
@@ -164,7 +164,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     shared = sc.broadcast(model)
 
     def classify(batches):
-        for batch in T.docs_in_batch(batches, "_text"):
+        for batch in T.docs_in_batch(batches, "_text", T.SLICE):
             t, p = shared.value.posteriors(batch.column(0))
             keep = t > 0
             yield pa.RecordBatch.from_arrays([pa.array(t[keep]), _lists(p[keep])], ["tokens", "p"])
@@ -178,7 +178,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
         log.warning("targets missed; shares reached and wanted: %s", shares)
 
     def rate(batches):
-        for batch in T.docs_in_batch(batches, "_text"):
+        for batch in T.docs_in_batch(batches, "_text", T.SLICE):
             t, p = shared.value.posteriors(batch.column(batch.num_columns - 1))
             r = np.where(t > 0, fold(p, history), 1.0)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(t), _lists(p), pa.array(r)], [*batch.schema.names[:-1], "n_words", "posteriors", "rate"])

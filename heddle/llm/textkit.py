@@ -10,6 +10,8 @@ Bytes above 0x7F are word bytes in both, so working on UTF-8 bytes gives the sam
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +26,7 @@ _WORD["alnum"][48:58] = _WORD["alnum"][97:123] = _WORD["alnum"][128:] = True
 _TABLE = np.random.Generator(np.random.PCG64(20240607)).integers(1, 2**63, 256, dtype=np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 CHUNK = 1 << 20
+SLICE = 2 << 20  # bytes of text handled at once where results do not depend on it
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -115,6 +118,13 @@ def hash_words(texts: list[str], rule: str = "space") -> list[np.ndarray]:
     return [h[b[i] : b[i + 1]] for i in range(len(texts))]
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers live on between tasks, and what they hold counts as their executor's."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def docs_in_batch(batches, text: str, budget: int = 8 << 20):
     """Split Arrow batches so that the texts of a slice hold about ``budget`` bytes at most (one text may hold more)."""
     for batch in batches:
@@ -128,3 +138,5 @@ def docs_in_batch(batches, text: str, budget: int = 8 << 20):
             to = min(max(to, at + 1), batch.num_rows)
             yield batch.slice(at, to - at)
             at = to
+        del batch, col, offsets
+        give_back()

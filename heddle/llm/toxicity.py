@@ -126,7 +126,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc
     sample = pos.union(unl)
 
     def run(batches):
-        for batch in T.docs_in_batch(batches, "_text"):
+        for batch in T.docs_in_batch(batches, "_text", T.SLICE):
             sets = distinct_words(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["_p", "words"])
 
@@ -143,7 +143,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sco
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in T.docs_in_batch(batches, "_text"):
+        for batch in T.docs_in_batch(batches, "_text", T.SLICE):
             s = shared.value.scores(batch.column(batch.num_columns - 1))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s)], [*batch.schema.names[:-1], out])
 
