@@ -18,7 +18,9 @@ every document.  Cutting that order into fragments cuts every document's set int
    those follow whose ends are not connected by then.
 5. *Rest.*  In segment groups that still hold several components, members of different ones are compared by a join whose
    condition lets few pairs out: their sizes allow a link, bitmaps of BITS bits bound the n-grams that only one of them has from
-   below, and the first EARLY keys of both show no earlier group in which they meet.  What passes goes through 3 and 4 too, so every pair that shares a segment is either verified, ruled out by a
+   below, and the first EARLY keys of both show no earlier group in which they meet.  What passes goes through 3 and 4 too: where there are
+   many more pairs than nodes, each node's pair with the smallest of its partners goes first and pairs connected by that go out, again and
+   again while it pays; then all others.  So every pair that shares a segment is either verified, ruled out by a
    bound, or inside one component already.
 
 Disk: keys are shuffled, open groups joined and overlaps counted in passes over parts of the keys or pairs, each of them staged and
@@ -52,6 +54,8 @@ BITS = 512  # of the bitmaps
 PASSES = 4  # over the keys, so that a part of them is shuffled at a time
 FEW = 1 << 22  # n-grams of all sets; up to so many one pass does
 EARLY = 8  # keys of a set that tell where a pair has met before
+DENSE = 4  # pairs of open groups for each that goes first; up to so many all go at once
+PAYS = 4  # while one pair in so many that go first is a link, the others wait
 PREFIX_BELOW = 85
 _K = np.array([0xA24BAED4963EE407, 0x9FB21C651E98DF25], np.uint64)
 
@@ -286,11 +290,21 @@ def first_pairs(links: DataFrame) -> DataFrame:
 
 def other_pairs(links: DataFrame, comp: DataFrame) -> DataFrame:
     """The other pairs (a, b) with leaders whose ends ``comp`` leaves apart."""
-    pairs = links.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct().join(first_pairs(links), ["a", "b"], "left_anti")
+    return apart(links.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct().join(first_pairs(links), ["a", "b"], "left_anti"), comp)
+
+
+def apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends are in different components of ``comp``."""
     ends = pairs.join(comp.withColumnsRenamed({"node": "a", "root": "ra"}), "a", "left").join(comp.withColumnsRenamed({"node": "b", "root": "rb"}), "b", "left")
     return ends.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
 
 
+def nearest_pairs(pairs: DataFrame) -> DataFrame:
+    """Of ``pairs`` (a, b) for each node that of the smallest node with which it has one."""
+    both = pairs.select("a", "b", F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))).alias("end"))
+    return both.groupBy("end.node").agg(F.min_by(F.struct("a", "b"), "end.other").alias("pair")).select("pair.a", "pair.b").distinct()
+
+
 def open_members(links: DataFrame, comp: DataFrame) -> DataFrame:
     """(key, node, root) of every member of a segment group that holds several components."""
     lead = comp.select(F.col("node").alias("leader"), F.col("root").alias("leader_root"))
@@ -340,18 +354,20 @@ def linked(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) ->
     release(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).select(row_node("doc", "text").alias("node"), "text")
 
+    def bound(pairs: DataFrame) -> DataFrame:
+        out = stage(bounded(pairs, sets, percent), "pairs")
+        unstage(pairs)
+        return out
+
     def check(pairs: DataFrame) -> DataFrame:
-        near = stage(fitting(pairs.distinct(), sets, percent), "fitting")
-        pairs = stage(bounded(near, sets, percent), "pairs")
-        unstage(near)
         good = verified(texts, classes, pairs, n, percent, total)
         unstage(pairs)
         release(docs.sparkSession)
         return good
 
-    edges = check(first_pairs(links))
+    edges = check(bound(stage(fitting(first_pairs(links), sets, percent), "fitting")))
     comp = stage(components(edges), "components")
-    edges = edges.union(check(other_pairs(links, comp)))
+    edges = edges.union(check(bound(stage(fitting(other_pairs(links, comp).distinct(), sets, percent), "fitting"))))
     unstage(comp)
     comp = stage(components(edges), "components")
     member = stage(open_members(links, comp), "open")
@@ -361,10 +377,28 @@ def linked(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) ->
         for part in range(passes):
             met.append(stage(open_pairs(member, sets, percent, part, passes), "met"))
             release(docs.sparkSession)
-        edges = edges.union(check(union_all(met)))
+        pairs = bound(stage(union_all(met).distinct(), "fitting"))  # their sizes and bitmaps are looked at already
         unstage(*met)
-        unstage(comp)
-        comp = stage(components(edges), "components")
+        pays = True
+        while pays:
+            some = stage(nearest_pairs(pairs), "nearest")
+            tried = some.count()
+            if pairs.count() <= DENSE * tried:
+                unstage(some)
+                break
+            good = verified(texts, classes, some, n, percent, total)
+            pays = good.count() * PAYS >= tried
+            edges = edges.union(good)
+            unstage(comp)
+            comp = stage(components(edges), "components")
+            rest = stage(apart(pairs.join(some, ["a", "b"], "left_anti"), comp), "pairs")
+            unstage(some, pairs)
+            pairs = rest
+            release(docs.sparkSession)
+        if not pairs.isEmpty() and not (good := check(pairs)).isEmpty():
+            edges = edges.union(good)
+            unstage(comp)
+            comp = stage(components(edges), "components")
     unstage(member)
     unstage(*stars, sets)
     release(docs.sparkSession)

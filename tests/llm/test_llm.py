@@ -152,6 +152,19 @@ def test_connected_sets_are_verified_once(spark, monkeypatch):
     assert {r.component_id for r in got} == {0} and sum(seen) <= 1.2 * len(rows)
 
 
+def test_open_groups_are_verified_in_rounds(spark, monkeypatch):
+    """Where the leaders link nothing, a group of near copies is connected by a few pairs of each, not by all pairs; the lone pairs are not lost."""
+    rng, seen, check = np.random.default_rng(6), [], ngram_join.verified
+    monkeypatch.setattr(ngram_join, "verified", lambda texts, classes, pairs, *rest: seen.append(pairs.count()) or check(texts, classes, pairs, *rest))
+    for name in ("first_pairs", "other_pairs"):
+        monkeypatch.setattr(ngram_join, name, lambda links, *_: links.selectExpr("node as a", "leader as b").where("false"))
+    base = [word(i) for i in range(300)]
+    rows = [(i, " ".join(base[:at] + [word(1000 + i)] + base[at + 1 :])) for i, at in enumerate(rng.integers(0, 300, 80))]
+    rows += [(100 + i, " ".join(word(2000 + 100 * (i // 2) + k) for k in range(60 + i % 2))) for i in range(10)]
+    got = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()}
+    assert got == {i: 0 if i < 80 else i - i % 2 for i, _ in rows} and sum(seen) <= 3 * len(rows)
+
+
 def test_signatures_are_deleted_before_pairs_are_verified(spark, monkeypatch):
     from heddle.llm import common
 
