@@ -135,7 +135,10 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc
     found = texts.join(F.broadcast(sample), "_id").groupBy("_id", "_p").agg(F.min("_text").alias("_text"))
     rows = found.select("_p", "_text").mapInArrow(run, "_p int, words binary").toArrow()
     sets = [[np.frombuffer(w, np.uint64) for w in sorted(rows.filter(pc.equal(rows["_p"], p))["words"].to_pylist())] for p in (1, 0)]
-    return fit(sets[0], sets[1], count["p"] / count["n"])
+    model = fit(sets[0], sets[1], count["p"] / count["n"])
+    del rows, sets
+    T.give_back()  # the sample's sets would stay with the driver through all later stages
+    return model
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:

@@ -165,6 +165,16 @@ def test_open_groups_are_verified_in_rounds(spark, monkeypatch):
     assert got == {i: 0 if i < 80 else i - i % 2 for i, _ in rows} and sum(seen) <= 3 * len(rows)
 
 
+def test_release_trims_the_driver(spark, monkeypatch):
+    """What the driver's JVM has freed goes back to the system between steps."""
+    from heddle.llm import common
+
+    done = []
+    monkeypatch.setattr(common, "trim", lambda s, f=common.trim: done.append(f(s)))
+    common.release(spark)
+    assert len(done) == 1 and done[0].startswith("Trim native heap")
+
+
 def test_signatures_are_deleted_before_pairs_are_verified(spark, monkeypatch):
     from heddle.llm import common
 
