@@ -512,6 +512,34 @@ def test_pipeline_line_dedup_compares_all_of_a_group(spark, crowd, monkeypatch,
     assert {r.doc_id for r in kept.collect()} == set(range(408))
 
 
+def test_line_dedup_rest_lets_only_links_out(spark, monkeypatch):
+    """Lines of the same words in other orders: letter counts rule no pair out, and no table of such pairs is written."""
+    from heddle.llm import common
+
+    def staged(df, tag):
+        out = common.stage(df, tag)
+        if tag == "met":
+            met.append(out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "with_blocks", one_block)
+    monkeypatch.setattr(line_dedup, "stage", staged)
+    rng, met, words = np.random.default_rng(9), [], [word(3 * k) + word(7 * k) for k in range(12)]
+    rows = [(i, " ".join(rng.permutation(words))) for i in range(60)]
+    rows += [(100 + i, line[:-1] + "k") for i, line in rows[:3]]
+    got = {r.doc_id for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), drop_emptied=True).collect()}
+    assert got == {i for i in range(60)} and met and sum(met) <= 3
+
+
+def test_line_dedup_marks(spark):
+    """What is added and what is taken away both count: here 11 characters go and 7 come, in lines that allow 10 edits."""
+    x, y = "e" * 60 + "j" * 45, "e" * 60 + "j" * 34 + "a" * 7
+    for one, other, may in ((x, y, False), (x, "e" * 60 + "j" * 35 + "a" * 7, True)):
+        texts = spark.createDataFrame([(1, one), (2, other)], "node long, norm string").selectExpr("node", "norm", "length(norm) as size", *line_dedup.counts_of("norm"))
+        both = line_dedup.marks(texts, "a").where("a = 1").crossJoin(line_dedup.marks(texts, "b").where("b = 2"))
+        assert both.where(line_dedup.may_link("a", "b")).count() == int(may)
+
+
 def test_line_dedup_short(spark, tmp_path):
     """In the query and the pipeline every line that is not blank takes part; short ones go only if they are equal."""
     import corpus_pipeline as C
