@@ -8,7 +8,8 @@ every document.  Cutting that order into fragments cuts every document's set int
    (per size class, as d depends on size).  Segments of one n-gram or none are shared by unlike sets: a set with at most s of them
    does without, since one of the s+1 is longer.  No link can be missed.  Below PREFIX_BELOW percent the segments would be short
    and often empty, and so shared by unlike sets; there the first |x| - ceil(p|x|) + 1 n-grams in the global order are
-   the keys instead, of which two linked sets share one.
+   the keys instead, of which two linked sets share one.  That holds for any order that is the same for all sets; there n-grams
+   that are frequent in a sample of SAMPLE rows come last, as each of them would make a group of many unlike sets.
 2. *Stars.*  Equal sets form one class first.  A segment group of m classes proposes m-1 pairs (member, leader),
    not m^2.
 3. *Bound.*  Each set carries how many n-grams it has in each of 256 fragments; the sum of the smaller counts bounds
@@ -57,6 +58,10 @@ EARLY = 8  # keys of a set that tell where a pair has met before
 DENSE = 4  # pairs of open groups for each that goes first; up to so many all go at once
 PAYS = 4  # while one pair in so many that go first is a link, the others wait
 PREFIX_BELOW = 85
+SAMPLE = 8192  # rows, about; the n-grams that OFTEN of them hold are frequent, LIST of them at most
+OFTEN = 3
+LIST = 1 << 16
+SLOTS = 1 << 20  # of the table of frequent n-grams
 _K = np.array([0xA24BAED4963EE407, 0x9FB21C651E98DF25], np.uint64)
 
 
@@ -98,10 +103,33 @@ def spare(fragments: int) -> int:
     return 1 + fragments // 16 if fragments > 1 else 0
 
 
-def segment_keys(u: np.ndarray, percent: int, classes: list[tuple[int, int, int]], starts: np.ndarray) -> np.ndarray:
+def frequent(texts: DataFrame, n: int) -> np.ndarray:
+    """For each of SLOTS remainders whether an n-gram with it is frequent among sampled rows of ``texts`` (node, text).
+
+    This tells a place in an order and nothing else: n-grams that share a remainder, or that the sample does not show, change no result.
+    """
+    def run(batches):
+        for batch in T.docs_in_batch(batches, "text", SLICE):
+            sets = list(shingle_sets(batch.column(1), n))
+            if sets:
+                grams, rows = np.unique(np.concatenate(sets), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(rows, pa.int64())], ["gram", "rows"])
+
+    share = -(-SAMPLE * SLOTS // max(texts.count(), 1))
+    some = texts.where(F.pmod(F.xxhash64(F.lit(3), "node"), F.lit(SLOTS)) < share).mapInArrow(run, "gram long, rows long")
+    top = some.groupBy("gram").agg(F.sum("rows").alias("rows")).where(F.col("rows") >= OFTEN).orderBy(F.desc("rows"), "gram").limit(LIST)
+    table = np.zeros(SLOTS, bool)
+    table[top.select("gram").toArrow().column(0).to_numpy().view(np.uint64) % np.uint64(SLOTS)] = True
+    return table
+
+
+def segment_keys(u: np.ndarray, percent: int, classes: list[tuple[int, int, int]], starts: np.ndarray, often: np.ndarray | None = None) -> np.ndarray:
     """A hash for each (size class, fragment, segment) of a set; also of the next class if a partner may lie in it."""
     n = len(u)
     if percent < PREFIX_BELOW:
+        if often is not None:
+            last = often[(u % np.uint64(SLOTS)).astype(np.int64)]
+            u = np.concatenate([u[~last], u[last]])
         return T.mix(u[: n - -(-n * percent // 100) + 1] + np.uint64(11))
     k = int(np.searchsorted(starts, n, "right")) - 1
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(T.mix(u + np.uint64(7)), dtype=np.uint64)])
@@ -189,19 +217,21 @@ def signatures(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str
     """(doc, node, n_shingles, digest, keys, counts, bits): one Python pass over the texts, no shuffle."""
     classes = size_classes(percent)
     starts = np.array([c[0] for c in classes])
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
+    often = np.packbits(frequent(rows.select(row_node("doc", "text").alias("node"), "text"), n)) if percent < PREFIX_BELOW else None
 
     def run(batches):
+        last = None if often is None else np.unpackbits(often).astype(bool)
         for batch in T.docs_in_batch(batches, "text", SLICE):
             sizes, digests, keys, counts, bits = [], [], [], [], []
             for u in shingle_sets(batch.column(1), n):
                 sizes.append(len(u))
                 digests.append(set_digest(u) if len(u) else None)
-                keys.append(segment_keys(u, percent, classes, starts).tobytes() if len(u) else b"")
+                keys.append(segment_keys(u, percent, classes, starts, last).tobytes() if len(u) else b"")
                 counts.append(fragment_counts(u) if len(u) else b"")
                 bits.append(bitmap(u))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary()), pa.array(bits, pa.list_(pa.int64()))], ["of", "n_shingles", "digest", "keys", "counts", "bits"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     rows = rows.select(F.struct("doc", row_node("doc", "text").alias("node")).alias("of"), "text")
     out = rows.mapInArrow(run, "of struct<doc:long,node:long>, n_shingles long, digest binary, keys binary, counts binary, bits array<long>")
     return out.select("of.*", "n_shingles", "digest", "keys", "counts", "bits")

@@ -187,6 +187,17 @@ def test_signatures_are_deleted_before_pairs_are_verified(spark, monkeypatch):
     assert ngram_join.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).count() == 1 and not kept
 
 
+def test_frequent_ngrams_make_no_groups(spark, monkeypatch):
+    """A passage in many unlike texts is not what they are compared by; links among them are found all the same."""
+    seen, check = [], ngram_join.fitting
+    monkeypatch.setattr(ngram_join, "fitting", lambda pairs, *rest: seen.append(pairs.count()) or check(pairs, *rest))
+    passage = " ".join(word(k) for k in range(30))
+    rows = [(i, " ".join([passage, *(word(1000 + 70 * i + k) for k in range(70))])) for i in range(60)]
+    rows += [(100 + i, text.rsplit(" ", 1)[0] + " changed") for i, text in rows[:5]]
+    got = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()}
+    assert got == {i: i % 100 for i, _ in rows} and sum(seen) <= 10
+
+
 def test_open_pairs_come_out_once(spark):
     """Sets that share many segments leave the join at one of them, not at each; those that share late ones only are not lost."""
     own = {i: range(20) for i in range(10)} | {10: [*range(100, 120), 500, 501], 11: [*range(200, 220), 500, 501]}
