@@ -38,15 +38,18 @@ def word_count(cols, p):
     return F.regexp_count(text(cols[0]), F.lit(f"[^{SPACE[1:]}+")).cast("string")
 
 
+def byte_runs(c, *more):
+    """The bytes of ``c``, and those of the arrays of hex pairs ``more``, as one string of hex pairs for each value that occurs, in order."""
+    pairs = F.regexp_extract_all(F.hex(raw(c)), F.lit(".."), F.lit(0))
+    # Equal bytes are neighbours once sorted, so a run's length is its count.  array_sort would compare through a lambda.
+    joined = F.array_join(F.sort_array(F.concat(pairs, *more) if more else pairs), "")
+    return F.regexp_extract_all(joined, F.lit(r"(..)\1*"), F.lit(0))
+
+
 def byte_counts(c):
     """How often each of the 256 bytes occurs, as array<bigint>."""
-    pairs = F.array_sort(F.regexp_extract_all(F.hex(raw(c)), F.lit(".."), F.lit(0)))
-    joined = F.array_join(pairs, "")
-    names = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.lpad(F.hex(i.cast("bigint")), 2, "0"))
-    # Equal bytes are neighbours once sorted, so a run's length is its count.
-    runs = F.regexp_extract_all(joined, F.lit(r"(..)\1*"), F.lit(0))
-    found = F.map_from_arrays(F.transform(runs, lambda r: F.substring(r, 1, 2)), F.transform(runs, lambda r: F.length(r) / 2))
-    return F.transform(names, lambda n: F.coalesce(F.element_at(found, n), F.lit(0.0)).cast("bigint"))
+    every = F.array(*(F.lit(f"{i:02X}") for i in range(256)))
+    return F.transform(byte_runs(c, every), lambda r: (F.length(r) / 2 - 1).cast("bigint"))
 
 
 @native("histogram")
@@ -58,8 +61,9 @@ def histogram(cols, p):
 def entropy_bits(c):
     """Shannon entropy in bits a byte; 0 for an empty blob."""
     n = F.octet_length(raw(c))
-    part = lambda k: F.when(k > 0, -(k / n) * F.log2(k / n)).otherwise(0.0)
-    return F.when(n == 0, 0.0).otherwise(total(F.transform(byte_counts(c), part)))
+    # Only bytes that occur add to the sum, so their runs alone are walked.
+    part = lambda r: -(F.length(r) / 2 / n) * F.log2(F.length(r) / 2 / n)
+    return F.when(n == 0, 0.0).otherwise(total(F.transform(byte_runs(c), part)))
 
 
 @native("entropy")
