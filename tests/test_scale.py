@@ -27,3 +27,26 @@ def test_byte_counts_of_odd_blobs(spark):
         n = len(r.b)
         assert counts == [bytes(r.b).count(i) for i in range(256)]
         assert math.isclose(r.e, -sum(k / n * math.log2(k / n) for k in counts if k), abs_tol=1e-12)
+
+
+def test_python_functions_hold_few_rows(spark):
+    def rss(x, p):
+        with open("/proc/self/statm") as f:
+            return str(int(f.read().split()[1]) * 4096 >> 20)
+
+    registry.python("rss_for_test", returns="string")(rss)
+    df = spark.range(0, 10000, 1, 1).select(F.repeat(F.lit("x"), 20000).alias("t"))
+    try:
+        most = lambda d: d.select(registry.call("rss_for_test", "t").cast("int").alias("mb")).agg(F.max("mb")).first()[0]
+        base = most(df.limit(1))  # first, as workers are used again
+        assert most(df) - base < 60  # 200 MB of texts in one task
+    finally:
+        registry._functions.pop(registry.FunctionId("rss_for_test"))
+
+
+def test_python_functions_give_plain_values(spark):
+    import numpy as np
+
+    for returns, value, want in (("binary", np.bytes_(b"ab"), b"ab"), ("binary", "é", "é".encode()), ("string", b"ab", "ab"), ("string", np.str_("ab"), "ab"), ("boolean", np.bool_(True), True), ("binary", None, None)):
+        got = registry.plain_value(value, returns)
+        assert got == want and type(got) is type(want)
