@@ -50,3 +50,25 @@ def test_python_functions_give_plain_values(spark):
     for returns, value, want in (("binary", np.bytes_(b"ab"), b"ab"), ("binary", "é", "é".encode()), ("string", b"ab", "ab"), ("string", np.str_("ab"), "ab"), ("boolean", np.bool_(True), True), ("binary", None, None)):
         got = registry.plain_value(value, returns)
         assert got == want and type(got) is type(want)
+
+
+def test_key_streams_are_made_once(monkeypatch):
+    import numpy as np
+
+    from heddle.functions import ciphers as C
+
+    made = []
+    blocks = C.aes_blocks
+    monkeypatch.setattr(C, "aes_blocks", lambda key, b: made.append(len(b)) or blocks(key, b))
+    key, nonce = bytes(range(32)), b"\xff" * 16
+    texts = [bytes([i % 251]) * n for i, n in enumerate((0, 1, 15, 16, 17, C.PIECE - 1, C.PIECE, C.PIECE + 1, 3 * C.PIECE + 5, *[2000] * 500))]
+    sealed = [C.aes_ctr(t, key, nonce) for t in texts]
+    assert sum(made) <= 5 * C.PIECE // 16  # a stream for each row took its whole length each time
+    low = (2**64 - 1 + np.arange(4 * C.PIECE // 16, dtype=object)) % 2**64
+    plain = np.array([list(b"\xff" * 8 + int(n).to_bytes(8, "big")) for n in low], np.uint8)
+    stream = blocks(key, plain).tobytes()
+    for t, c in zip(texts, sealed, strict=True):
+        assert c == bytes(a ^ b for a, b in zip(t, stream, strict=False))
+    whole = C._chacha(key, nonce[:12], 1, 4 * C.PIECE // 64)
+    for t in texts[:9]:
+        assert C._chacha_xor(t, key, nonce[:12]) == bytes(a ^ b for a, b in zip(t, whole, strict=False))
