@@ -72,3 +72,20 @@ def test_key_streams_are_made_once(monkeypatch):
     whole = C._chacha(key, nonce[:12], 1, 4 * C.PIECE // 64)
     for t in texts[:9]:
         assert C._chacha_xor(t, key, nonce[:12]) == bytes(a ^ b for a, b in zip(t, whole, strict=False))
+
+
+def test_coded_letter_counts(spark):
+    from heddle.llm import line_dedup as L
+
+    period = 2 * L.LANE
+    for a in range(60):
+        for b in range(60):
+            bits = (L.CODES[a % period] ^ L.CODES[b % period]).bit_count()
+            assert bits <= abs(a - b) and (abs(a - b) > L.LANE or bits == abs(a - b))
+    lines = ["e" * n + "xz q" * (n % 3) for n in range(30)]
+    texts = spark.createDataFrame(list(enumerate(lines)), "node long, norm string").selectExpr("node", "norm", "length(norm) as size", *L.counts_of("norm"))
+    assert len(L.marks(texts, "a").columns) <= 8  # what is shuffled for each end of a pair: 25 columns before
+    pairs = L.marks(texts, "a").crossJoin(L.marks(texts, "b"))
+    may = {(r.a, r.b) for r in pairs.where(L.may_link("a", "b")).select("a", "b").collect()}
+    links = texts.alias("x").crossJoin(texts.alias("y")).where("levenshtein(x.norm, y.norm) <= floor(greatest(x.size, y.size) * 0.1)").selectExpr("x.node as a", "y.node as b").collect()
+    assert {(r.a, r.b) for r in links} <= may and len(may) < len(lines) ** 2 / 2
